@@ -46,13 +46,17 @@ def card_salary(texts: Column) -> Column:
 
 
 def detail_salary(labels: Column) -> Column:
-    """(salary_min, salary_max, currency) of a detail: first label with a sign and a number."""
-    text = first_text(labels, lambda t: F.contains(t, F.lit("$")) & t.rlike(r"\d"))
-    amount = parse_salary_single(text)
+    """(salary_min, salary_max, currency) of a detail: first label with a sign and a number.
+
+    A salary of 0 gives way to a later one.
+    """
+    stated = F.filter(labels, lambda t: F.contains(t, F.lit("$")) & t.rlike(r"\d"))
+    amounts = F.transform(stated, parse_salary_single)
+    amount = F.coalesce(first_text(amounts, lambda a: a != 0), F.get(amounts, 0))
     return F.struct(
         amount.alias("salary_min"),
         amount.alias("salary_max"),
-        F.when(text.isNotNull(), F.lit("COP")).alias("currency"),
+        F.when(F.size(amounts) > 0, F.lit("COP")).alias("currency"),
     )
 
 

@@ -60,7 +60,7 @@ def _stored_skills(skills: Column) -> Column:
     return F.when(F.size(normalized) > 0, normalized)
 
 
-def _as_new(incoming: DataFrame, ingest_ts: Column) -> DataFrame:
+def as_new(incoming: DataFrame, ingest_ts: Column) -> DataFrame:
     """Incoming rows in table shape; the legacy contract column is a fallback."""
     contract = [c for c in ("contract_type", "remote_type") if c in incoming.columns]
     values = {
@@ -117,7 +117,7 @@ def upsert_fill_missing(
         *[filled.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in JOBS_SCHEMA],
         change.alias("change"),
     )
-    added = _as_new(new_only(incoming, existing), ingest_ts).withColumn("change", F.lit("inserted"))
+    added = as_new(new_only(incoming, existing), ingest_ts).withColumn("change", F.lit("inserted"))
     return kept.unionByName(added)
 
 

@@ -168,6 +168,24 @@ FROM jobs j
 """
 
 
+# short texts for the field rules, one row per order
+FIELD_TEXTS = f"""
+SELECT o_orderkey AS id, {_pick("o_orderkey", TITLES)} AS title,
+  CASE o_orderkey % 6 WHEN 0 THEN concat('Salario $ ', CAST(o_custkey AS VARCHAR(20)), '.500 mensual') WHEN 1 THEN 'A convenir'
+    WHEN 2 THEN concat('Pago ', CAST(o_custkey AS VARCHAR(20))) WHEN 3 THEN '$ confidencial' WHEN 4 THEN concat('$99.', CAST(o_orderkey AS VARCHAR(20)), '.999.999') END AS salary_text,
+  CASE o_orderkey % 6 WHEN 0 THEN concat('$', CAST(o_custkey AS VARCHAR(20)), ',000 - $', CAST(o_custkey * 2 AS VARCHAR(20)), '.000 USD') WHEN 1 THEN concat('$', CAST(o_custkey AS VARCHAR(20)))
+    WHEN 2 THEN concat('.,. - ', CAST(o_custkey AS VARCHAR(20))) WHEN 3 THEN concat(CAST(o_custkey AS VARCHAR(20)), ' a 99.999.999.999') WHEN 4 THEN '' END AS range_text,
+  {{array}}('Publicada hoy', {_pick("o_orderkey", TITLES)}, concat({_pick("o_orderkey", TITLES)}, ' | no'),
+    CASE WHEN o_orderkey % 4 <> 0 THEN concat(' ACME ', CAST(o_custkey AS VARCHAR(20)), ' | Fijo | x ') ELSE 'nada' END, 'Otra | Indefinido') AS card_texts,
+  CASE o_orderkey % 4 WHEN 0 THEN concat('Fecha de publicación ', substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10)) WHEN 1 THEN 'Fecha 2024-13-45' WHEN 2 THEN 'ayer' END AS date_text,
+  CASE o_orderkey % 6 WHEN 0 THEN concat(substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10), 'T10:20:30Z') WHEN 1 THEN concat(substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10), 'T22:15:00-05:00')
+    WHEN 2 THEN substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10) WHEN 3 THEN 'soon' WHEN 4 THEN concat(substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10), ' 08:00:00.250+05:30') END AS iso_text,
+  CASE o_orderkey % 6 WHEN 0 THEN concat('/empleos/backend-', CAST(o_orderkey AS VARCHAR(20))) WHEN 1 THEN 'https://www.getonbrd.com/empleos/x' WHEN 2 THEN '/empleos/tag/python'
+    WHEN 3 THEN '/empleos/ciudad/cali' WHEN 4 THEN concat('/co/empleos/', CAST(o_orderkey AS VARCHAR(20))) ELSE '/blog' END AS href
+FROM orders
+"""
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -200,12 +218,20 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, JOBS, orders=spread(given(spark, sf_dir, "orders")), **tables)
 
 
+def incoming_of(lineitem: DataFrame) -> DataFrame:
+    return _view(lineitem.sparkSession, INCOMING, lineitem=lineitem)
+
+
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, INCOMING, lineitem=spread(given(spark, sf_dir, "lineitem")))
+    return incoming_of(spread(given(spark, sf_dir, "lineitem")))
+
+
+def progress_of(events: DataFrame) -> DataFrame:
+    return _view(events.sparkSession, PROGRESS, events=events)
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, PROGRESS, events=spread(given(spark, sf_dir, "events")))
+    return progress_of(spread(given(spark, sf_dir, "events")))
 
 
 def microdata_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +246,10 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, DETAIL_PAGES, jobs=jobs(spark, sf_dir))
 
 
+def field_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, FIELD_TEXTS, orders=spread(given(spark, sf_dir, "orders")))
+
+
 def raw_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per array element of the stored skills."""
     return jobs(spark, sf_dir).select(
