@@ -12,7 +12,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacantis.functions.text import let, trim_spaces
+from vacantis.functions.text import let, literal_map, trim_spaces
 
 ANY_TAG = r"[a-zA-Z][a-zA-Z0-9-]*"
 TAGS = r"(?s)</?[a-zA-Z][^>]*>|<![^>]*>"
@@ -30,7 +30,7 @@ def _attribute(name: str, value: str) -> str:
 
 
 def opening(tag: str = ANY_TAG, classes: list[str] | None = None, **attributes: str | None) -> str:
-    """Pattern of an opening tag.
+    """Pattern of an opening tag; its first group is the tag name.
 
     ``classes`` are pattern fragments the class attribute must hold; an attribute must
     equal its value, or only be present when the value is None.
@@ -43,7 +43,7 @@ def opening(tag: str = ANY_TAG, classes: list[str] | None = None, **attributes:
         else:
             exact = re.escape(value)
             tests.append(rf"(?=[^>]*\s(?i:{name})\s*=\s*(?:\"{exact}\"|'{exact}'|{exact}(?=[\s>])))")
-    return rf"<(?i:{tag})(?=[\s/>])" + "".join(tests) + "[^>]*>"
+    return rf"<((?i:{tag}))(?=[\s/>])" + "".join(tests) + "[^>]*>"
 
 
 def from_first(html: Column, pattern: str) -> Column:
@@ -60,8 +60,40 @@ def attribute_of(element: Column, name: str) -> Column:
     )
 
 
+def _closed(html: Column, pattern: str) -> Column:
+    """From the first matching tag to the next closing tag of its name, or empty text."""
+    return F.regexp_extract(html, rf"(?s){pattern}.*?</(?i:\1)\s*>", 0)
+
+
+def _needs_balance(quick: Column) -> Column:
+    """Nothing was found up to a closing tag, or a tag of the same name opens inside."""
+    return (quick == "") | quick.rlike(rf"(?is)^<({ANY_TAG})[\s/>].*?<\1[\s/>]")
+
+
+def _unwrapped(quick: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(quick, "^<[^>]*>", ""), r"</[a-zA-Z0-9-]+\s*>$", "")
+
+
 def inner(element: Column) -> Column:
     """Content of the element a text starts with; NULL when the text is empty."""
+    return let(
+        _closed(element, f"^<({ANY_TAG})[^>]*>"),
+        lambda quick: F.when(_needs_balance(quick), _balanced(element)).otherwise(_unwrapped(quick)),
+    )
+
+
+def first_inner(html: Column, pattern: str) -> Column:
+    """Content of the first matching element, else NULL."""
+    return let(
+        _closed(html, pattern),
+        lambda quick: F.when(
+            _needs_balance(quick), let(from_first(html, pattern), _balanced)
+        ).otherwise(_unwrapped(quick)),
+    )
+
+
+def _balanced(element: Column) -> Column:
+    """Content up to the closing tag that balances the opening one."""
 
     def content(parts: Column) -> Column:
         def step(seen: Column, part: Column) -> Column:
@@ -93,11 +125,6 @@ def inner(element: Column) -> Column:
     )
 
 
-def first_inner(html: Column, pattern: str) -> Column:
-    """Content of the first matching element, else NULL."""
-    return let(from_first(html, pattern), inner)
-
-
 def parent_inner(html: Column, pattern: str) -> Column:
     """Content of the element around the first matching tag, else NULL.
 
@@ -151,9 +178,7 @@ def all_inner(html: Column, pattern: str) -> Column:
 
 def unescape(text: Column) -> Column:
     """Character references resolved; unknown ones stay."""
-    named = F.create_map(
-        *[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))]
-    )
+    named = literal_map({name: chr(code) for name, code in name2codepoint.items()})
 
     def from_code(code: Column) -> Column:
         return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")

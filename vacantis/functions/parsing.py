@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacantis import fixed_values as fixed
-from vacantis.functions.text import trim_spaces
+from vacantis.functions.text import let, trim_spaces
 
 
 def _digits(text: Column, drop: str) -> Column:
@@ -37,11 +37,13 @@ def parse_salary_single(text: Column) -> Column:
 
 def card_salary(texts: Column) -> Column:
     """(salary_min, salary_max, currency) of a card: the first text that hints at a salary."""
-    text = first_text(texts, has_salary_hint)
-    return F.struct(
-        parse_salary_single(text).alias("salary_min"),
-        F.lit(None).cast("int").alias("salary_max"),
-        F.when(F.contains(text, F.lit("$")), F.lit("COP")).alias("currency"),
+    return let(
+        first_text(texts, has_salary_hint),
+        lambda text: F.struct(
+            parse_salary_single(text).alias("salary_min"),
+            F.lit(None).cast("int").alias("salary_max"),
+            F.when(F.contains(text, F.lit("$")), F.lit("COP")).alias("currency"),
+        ),
     )
 
 
@@ -51,13 +53,16 @@ def detail_salary(labels: Column) -> Column:
     A salary of 0 gives way to a later one.
     """
     stated = F.filter(labels, lambda t: F.contains(t, F.lit("$")) & t.rlike(r"\d"))
-    amounts = F.transform(stated, parse_salary_single)
-    amount = F.coalesce(first_text(amounts, lambda a: a != 0), F.get(amounts, 0))
-    return F.struct(
-        amount.alias("salary_min"),
-        amount.alias("salary_max"),
-        F.when(F.size(amounts) > 0, F.lit("COP")).alias("currency"),
-    )
+
+    def chosen(amounts: Column) -> Column:
+        amount = F.coalesce(first_text(amounts, lambda a: a != 0), F.get(amounts, 0))
+        return F.struct(
+            amount.alias("salary_min"),
+            amount.alias("salary_max"),
+            F.when(F.size(amounts) > 0, F.lit("COP")).alias("currency"),
+        )
+
+    return let(F.transform(stated, parse_salary_single), chosen)
 
 
 def parse_salary_range(text: Column) -> Column:
@@ -66,13 +71,16 @@ def parse_salary_range(text: Column) -> Column:
     An unreadable first number leaves both empty, an unreadable second one keeps the
     minimum. The currency is set whenever the element exists.
     """
-    numbers = F.regexp_extract_all(text, F.lit(r"[\d.,]+"), F.lit(0))
-    low = F.when(F.size(numbers) >= 2, _digits(F.get(numbers, 0), "[.,]"))
-    return F.struct(
-        low.alias("salary_min"),
-        F.when(low.isNotNull(), _digits(F.get(numbers, 1), "[.,]")).alias("salary_max"),
-        F.when(text.isNotNull(), F.lit("USD")).alias("currency"),
-    )
+
+    def bounds(numbers: Column) -> Column:
+        low = F.when(F.size(numbers) >= 2, _digits(F.get(numbers, 0), "[.,]"))
+        return F.struct(
+            low.alias("salary_min"),
+            F.when(low.isNotNull(), _digits(F.get(numbers, 1), "[.,]")).alias("salary_max"),
+            F.when(numbers.isNotNull(), F.lit("USD")).alias("currency"),
+        )
+
+    return let(F.regexp_extract_all(text, F.lit(r"[\d.,]+"), F.lit(0)), bounds)
 
 
 def split_company_contract(texts: Column, title: Column) -> Column:
@@ -81,12 +89,12 @@ def split_company_contract(texts: Column, title: Column) -> Column:
     def left(text: Column) -> Column:
         return trim_spaces(F.split_part(text, F.lit("|"), F.lit(1)))
 
-    text = first_text(
-        texts, lambda t: F.contains(t, F.lit("|")) & ~left(t).eqNullSafe(title)
-    )
-    return F.struct(
-        left(text).alias("company"),
-        trim_spaces(F.regexp_replace(text, r"^[^|]*\|", "")).alias("contract_type"),
+    return let(
+        first_text(texts, lambda t: F.contains(t, F.lit("|")) & ~left(t).eqNullSafe(title)),
+        lambda text: F.struct(
+            left(text).alias("company"),
+            trim_spaces(F.regexp_replace(text, r"^[^|]*\|", "")).alias("contract_type"),
+        ),
     )
 
 
@@ -101,18 +109,20 @@ def parse_iso_timestamp(text: Column, ingest_ts: Column) -> Column:
 
     A zone moves the clock time to UTC; a text without zone is taken as it stands.
     """
-    body = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?"
-    zone = F.regexp_extract(text, body + r"(Z|[+-]\d{2}:?\d{2})?$", 3)
-    local = F.when(
-        text.rlike(body + r"(?:Z|[+-]\d{2}:?\d{2})?$"),
-        F.concat_ws(" ", F.regexp_extract(text, body, 1), F.nullif(F.regexp_extract(text, body, 2), F.lit(""))),
-    ).try_cast("timestamp_ntz")
-    sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-    minutes = F.coalesce(
-        sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.regexp_extract(zone, r"(\d{2})$", 1).try_cast("int")),
-        F.lit(0),
-    )
-    return F.coalesce(local - F.make_dt_interval(mins=minutes), ingest_ts.cast("timestamp_ntz"))
+    body = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?(Z|[+-]\d{2}:?\d{2})?$"
+
+    def part(value: Column, group: int) -> Column:
+        return F.nullif(F.regexp_extract(value, body, group), F.lit(""))
+
+    def in_utc(value: Column) -> Column:
+        zone = part(value, 3)
+        hours, minutes = F.substring(zone, 2, 2), F.regexp_extract(zone, r"(\d{2})$", 1)
+        offset = hours.try_cast("int") * 60 + minutes.try_cast("int")
+        offset = F.when(F.startswith(zone, F.lit("-")), -offset).otherwise(F.coalesce(offset, F.lit(0)))
+        local = F.concat_ws(" ", part(value, 1), part(value, 2)).try_cast("timestamp_ntz")
+        return local - F.make_dt_interval(mins=offset)
+
+    return F.coalesce(let(text, in_utc), ingest_ts.cast("timestamp_ntz"))
 
 
 def absolute_url(href: Column, base: str) -> Column:

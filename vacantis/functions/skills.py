@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacantis import fixed_values as fixed
-from vacantis.functions.text import SPACE, let, strip_accents
-
-
-def _literal_map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(entries.items())])
+from vacantis.functions.text import SPACE, let, literal_map, strip_accents
 
 
 def _sentence_case(words: str) -> str:
@@ -27,7 +21,7 @@ def skill_words(c: Column) -> Column:
 
 def skill_alias(words: Column) -> Column:
     """Stored spelling for known folded words, else NULL."""
-    return F.try_element_at(_literal_map(fixed.SKILL_ALIASES), words)
+    return F.try_element_at(literal_map(fixed.SKILL_ALIASES), words)
 
 
 def _camel(words: Column) -> Column:
@@ -60,8 +54,8 @@ def display_alias(skill: Column) -> Column:
     for words, spelling in fixed.SKILL_ALIASES.items():
         by_spelling.setdefault(spelling, _sentence_case(words))
     return F.coalesce(
-        F.try_element_at(_literal_map(fixed.DISPLAY_ALIASES), compact_key(skill)),
-        F.try_element_at(_literal_map(by_spelling), skill),
+        F.try_element_at(literal_map(fixed.DISPLAY_ALIASES), compact_key(skill)),
+        F.try_element_at(literal_map(by_spelling), skill),
     )
 
 
@@ -83,9 +77,18 @@ def format_skill(c: Column) -> Column:
     return let(normalize_skill(c), denormalize_skill)
 
 
+def _is_soft(normalized: Column) -> Column:
+    return compact_key(normalized).isin(fixed.SOFT_SKILL_KEYS)
+
+
+def category_of(normalized: Column) -> Column:
+    """Category of a stored spelling."""
+    return F.when(_is_soft(normalized), F.lit("soft")).otherwise(F.lit("technical"))
+
+
 def is_soft_skill(c: Column) -> Column:
-    return compact_key(normalize_skill(c)).isin(fixed.SOFT_SKILL_KEYS)
+    return _is_soft(normalize_skill(c))
 
 
 def skill_category(c: Column) -> Column:
-    return F.when(is_soft_skill(c), F.lit("soft")).otherwise(F.lit("technical"))
+    return category_of(normalize_skill(c))

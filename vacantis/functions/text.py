@@ -28,9 +28,26 @@ def non_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+SPACES = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def trim_spaces(c: Column) -> Column:
     """Strip leading and trailing whitespace of every kind."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def literal_map(entries: dict[str, str]) -> Column:
+    """A constant map, folded by the optimizer into one literal."""
+    text = "\x01".join(f"{key}\x02{value}" for key, value in entries.items())
+    return F.str_to_map(F.lit(text), F.lit("\x01"), F.lit("\x02"))
+
+
+def literal_array(values: list[str]) -> Column:
+    """A constant array, folded by the optimizer into one literal."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
 
 
 def _fold(text: str) -> str:
@@ -68,12 +85,12 @@ def _fold_non_ascii(text: Column) -> Column:
     source, target, longer = _accent_tables()
 
     def expand(translated: Column) -> Column:
-        expanded = translated
-        for ch, replacement in longer.items():
-            expanded = F.replace(expanded, F.lit(ch), F.lit(replacement))
-        first = min(longer)
-        found = translated.rlike(f"[{first}-\\x{{10FFFF}}&&[{''.join(longer)}]]")
-        return F.when(found, expanded).otherwise(translated)
+        expanded = F.transform(
+            F.split(translated, ""),
+            lambda ch: F.coalesce(F.try_element_at(literal_map(longer), ch), ch),
+        )
+        found = translated.rlike(f"[{min(longer)}-\\x{{10FFFF}}&&[{''.join(longer)}]]")
+        return F.when(found, F.array_join(expanded, "")).otherwise(translated)
 
     marks = r"[\u0300-\x{10FFFF}&&\p{Mn}]+"
     return F.regexp_replace(let(F.translate(text, source, target), expand), marks, "")
@@ -111,21 +128,30 @@ def detect_work_mode(location: Column, contract_type: Column) -> Column:
 
 # --- English requirement -----------------------------------------------------
 
-@lru_cache(maxsize=None)
-def _letter_class(letter: str) -> str:
-    """All code points that fold to ``letter`` in lower case, plus trailing marks.
+@lru_cache(maxsize=1)
+def _accented_letters() -> dict[str, str]:
+    """ASCII letter -> every other code point that folds to it in lower case."""
+    out: dict[str, str] = {}
+    for ch in map(chr, range(0x80, 0x2FA20)):
+        if unicodedata.decomposition(ch):
+            folded = _fold(ch.lower())
+            if len(folded) == 1 and folded.isascii():
+                out[folded] = out.get(folded, "") + ch
+    return out
+
 
-    ASCII characters leave the class after one test: the accented ones sit behind
-    an intersection with the non-ASCII range.
+def _letter(letter: str) -> str:
+    """Class of all code points that fold to ``letter``.
+
+    ASCII characters leave the class after one test: the accented ones sit behind an
+    intersection with the non-ASCII range.
     """
-    accented = "".join(
-        ch for ch in map(chr, range(0x80, 0x2FA20))
-        if unicodedata.decomposition(ch) and _fold(ch.lower()) == letter
-    )
-    ascii_part = letter + letter.upper() if letter.isalpha() else letter
-    if not accented:
-        return f"[{ascii_part}]" + r"\p{Mn}*+"
-    return f"[{ascii_part}[\\u0080-\\x{{10FFFF}}&&[{accented}]]]" + r"\p{Mn}*+"
+    own = letter + letter.upper() if letter.isalpha() else letter
+    accented = _accented_letters().get(letter)
+    return f"[{own}[\\u0080-\\x{{10FFFF}}&&[{accented}]]]" if accented else f"[{own}]"
+
+
+MARKS = r"\p{Mn}*+"
 
 
 @lru_cache(maxsize=None)
@@ -141,23 +167,33 @@ def _folded_pattern(pattern: str) -> str:
             rest = rest[2:]
             continue
         if rest[0] == " ":
-            out.append(rf"(?:{SPACE}\p{{Mn}}*+)++")
+            out.append(rf"(?:{SPACE}{MARKS})++")
         else:
-            out.append(_letter_class(rest[0]))
+            out.append(_letter(rest[0]) + MARKS)
         rest = rest[1:]
     return "".join(out)
 
 
+STEM = "ngl"  # shared by both language words
+
+
+def _from_stem(pattern: str, before_first: str = "") -> str:
+    """Pattern of a phrase that starts with a language word, anchored at the word's stem.
+
+    The stem is rare, so the scan is fast; the first letter is only looked back at.
+    """
+    back = "".join(_letter(ch) + r"\p{Mn}{0,8}" for ch in pattern[: 1 + len(STEM)])
+    return f"(?s){_folded_pattern(STEM)}(?<={before_first}{back}){_folded_pattern(pattern[1 + len(STEM):])}"
+
+
 def _phrase(pattern: str) -> str:
-    return "(?s)" + _folded_pattern(pattern)
+    return _from_stem(pattern) if pattern[1:].startswith(STEM) else "(?s)" + _folded_pattern(pattern)
 
 
 def _whole_word(word: str) -> str:
     """The word with no letter, digit or underscore on either side."""
-    letter, first = r"[\p{L}\p{N}_]", _letter_class(word[0])
-    bare_first = first.removesuffix(r"\p{Mn}*+")
-    before = rf"(?<!{letter}\p{{Mn}}{{0,8}}{bare_first})"
-    return rf"(?s){bare_first}{before}\p{{Mn}}*+{_folded_pattern(word[1:])}(?!{letter})"
+    letter = r"[\p{L}\p{N}_]"
+    return _from_stem(word, rf"(?<!{letter}\p{{Mn}}{{0,8}})") + f"(?!{letter})"
 
 
 def _any_match(text: Column, patterns: list[str]) -> Column:
@@ -183,7 +219,7 @@ def detect_english(*texts: Column) -> Column:
             text.rlike(_phrase("requi")) & _any_match(text, [_phrase(p) for p in with_stem])
         )
         return (
-            F.when(~text.rlike(_phrase("ngl")), F.lit(None).cast("boolean"))
+            F.when(~text.rlike(_phrase(STEM)), F.lit(None).cast("boolean"))
             .when(refused, F.lit(False))
             .when(_any_match(text, [_whole_word(w) for w in fixed.ENGLISH_MENTION]), F.lit(True))
             .when(_any_match(text, [_phrase(p) for p in fixed.ENGLISH_POSITIVE]), F.lit(True))
@@ -201,11 +237,9 @@ def normalize_location(c: Column) -> Column:
 
 def known_city(folded: Column) -> Column:
     """First known city, in list order, contained in an already folded text."""
-    (head, *tail) = dict.fromkeys(fixed.KNOWN_CITIES)
-    out = F.when(F.contains(folded, F.lit(_fold(head.lower()))), F.lit(head))
-    for city in tail:
-        out = out.when(F.contains(folded, F.lit(_fold(city.lower()))), F.lit(city))
-    return out
+    keys = literal_array([_fold(city.lower()) for city in fixed.KNOWN_CITIES])
+    contained = F.transform(keys, lambda key: F.contains(folded, key))
+    return F.get(literal_array(fixed.KNOWN_CITIES), F.array_position(contained, True).cast("int") - 1)
 
 
 def gazetteer_match(c: Column) -> Column:

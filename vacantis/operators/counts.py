@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacantis import fixed_values as fixed
-from vacantis.functions.skills import format_skill, normalize_skill, normalize_skills, skill_category
+from vacantis.functions.skills import (
+    category_of, denormalize_skill, format_skill, normalize_skill, normalize_skills,
+)
 from vacantis.functions.text import detect_english, detect_work_mode, month_key, non_empty
 
 
@@ -61,8 +63,12 @@ def skill_counts(df: DataFrame) -> DataFrame:
 
 def categorised(df: DataFrame) -> DataFrame:
     """Category and display form of a normalised ``skill`` column (normalised once more)."""
-    skill = F.col("skill")
-    return df.withColumns({"category": skill_category(skill), "skill": format_skill(skill)})
+    again = F.col("_again")
+    return (
+        df.withColumn("_again", normalize_skill(F.col("skill")))
+        .withColumns({"category": category_of(again), "skill": denormalize_skill(again)})
+        .drop("_again")
+    )
 
 
 def salary_summary(df: DataFrame) -> DataFrame:
