@@ -54,11 +54,9 @@ def skill_counts(df: DataFrame) -> DataFrame:
     spelling instead of once per occurrence.
     """
     raw = df.select(F.explode("skills").alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
-    return (
-        categorised(raw.withColumn("skill", normalize_skill(F.col("raw"))).where("skill <> ''"))
-        .groupBy("category", "skill")
-        .agg(F.sum("n").alias("occurrences"))
-    )
+    # an explode drops blank spellings; a filter would be pushed below the count
+    spelled = raw.select("n", F.explode(normalize_skills(F.array("raw"))).alias("skill"))
+    return categorised(spelled).groupBy("category", "skill").agg(F.sum("n").alias("occurrences"))
 
 
 def categorised(df: DataFrame) -> DataFrame:
@@ -156,12 +154,7 @@ def skill_month_counts(df: DataFrame) -> DataFrame:
     Counting by stored spelling first keeps the display rules off the posting rows.
     """
     per_spelling = _spelling_months(df)
-    return (
-        categorised(per_spelling)
-        .where("skill <> ''")
-        .groupBy("category", "skill", "month")
-        .agg(F.sum("n").alias("count"))
-    )
+    return categorised(per_spelling).groupBy("category", "skill", "month").agg(F.sum("n").alias("count"))
 
 
 def skill_month_counts_all(df: DataFrame) -> DataFrame:
@@ -169,13 +162,13 @@ def skill_month_counts_all(df: DataFrame) -> DataFrame:
     return (
         _spelling_months(df)
         .withColumn("skill", format_skill(F.col("skill")))
-        .where("skill <> ''")
         .groupBy("skill", "month")
         .agg(F.sum("n").alias("count"))
     )
 
 
 def _spelling_months(df: DataFrame) -> DataFrame:
+    """Postings per stored spelling and month; a stored spelling is never blank."""
     return (
         df.select(posting_month().alias("month"), "skills")
         .where("month IS NOT NULL")

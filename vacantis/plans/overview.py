@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantis import fixed_values as fixed
-from vacantis.functions.skills import normalize_skill
+from vacantis.functions.skills import normalize_skills
 from vacantis.functions.text import non_empty
 from vacantis.operators import counts
 from vacantis.operators.search import bounded
@@ -93,9 +93,9 @@ def overview(
 
     # raw spellings become displayed skills, everything else keeps its key
     is_skill = F.col("metric") == "raw_skill"
-    spelled = counted.withColumn("skill", F.when(is_skill, normalize_skill(F.col("key")))).where(
-        ~is_skill | (F.col("skill") != "")
-    )
+    spellings = F.when(is_skill, normalize_skills(F.array("key"))).otherwise(F.array(none))
+    # an explode drops blank spellings; a filter would be pushed below the count
+    spelled = counted.select("metric", "key", *measures, F.explode(spellings).alias("skill"))
     named = counts.categorised(spelled).select(
         F.when(is_skill, F.concat("category", F.lit("_skills"))).otherwise(F.col("metric")).alias("metric"),
         F.when(is_skill, F.col("skill")).otherwise(F.col("key")).alias("key"),
