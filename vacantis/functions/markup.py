@@ -176,6 +176,11 @@ def all_inner(html: Column, pattern: str) -> Column:
     return F.transform(all_elements(html, pattern), inner)
 
 
+def _after(part: Column, name: str) -> Column:
+    """The character of a named reference and what follows it."""
+    return F.concat(F.lit(chr(name2codepoint[name])), F.substr(part, F.lit(len(name) + 2)))
+
+
 def unescape(text: Column) -> Column:
     """Character references resolved; unknown ones stay."""
     named = literal_map({name: chr(code) for name, code in name2codepoint.items()})
@@ -193,7 +198,13 @@ def unescape(text: Column) -> Column:
             .otherwise(F.try_element_at(named, name))
         )
         rest = F.regexp_replace(part, r"^#?\w+;", "")
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
+        general = F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
+        # the usual references are settled by a prefix test
+        (head, *tail) = ("amp", "lt", "gt", "quot", "nbsp")
+        out = F.when(F.startswith(part, F.lit(f"{head};")), _after(part, head))
+        for name in tail:
+            out = out.when(F.startswith(part, F.lit(f"{name};")), _after(part, name))
+        return out.otherwise(general)
 
     def resolve_all(parts: Column) -> Column:
         tail = F.transform(F.slice(parts, F.lit(2), F.size(parts)), resolve)
