@@ -6,6 +6,7 @@ runs one operator over the whole of them. Nested results are shown as JSON text.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -30,6 +31,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 C = F.col
 
 
+def _installed(module: str) -> bool:
+    try:
+        return importlib.util.find_spec(module) is not None
+    except ModuleNotFoundError:
+        return False
+
+
+# The training-data operators are an optional subpackage; only its absence is passed over.
+llm = importlib.import_module("vacantis.llm.queries") if _installed("vacantis.llm.queries") else None
+
+
 def _ingest_ts() -> Column:
     return F.to_timestamp_ntz(F.lit("2024-06-01 00:00:00"))
 
@@ -342,7 +354,7 @@ def queries() -> dict[str, Query]:
     q["t2_stream_dedup_by_url"] = t2_stream_dedup_by_url
     q["t3_stream_progress"] = t3_stream_progress
     q["t4_ingest_metrics"] = t4_ingest_metrics
-    return q
+    return q | (llm.queries() if llm else {})
 
 
 def _search_result(jobs: DataFrame) -> DataFrame:
@@ -353,7 +365,7 @@ def _search_result(jobs: DataFrame) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     """The same results in DuckDB SQL, written from the rules and not from the Spark code."""
-    return dict(ORACLES)
+    return ORACLES | (llm.oracle_sql() if llm else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -11,11 +11,14 @@ def con(sf_dir):
     return duck(sf_dir)
 
 
+OWN = sorted(set(entry.queries()) - set(entry.llm.queries() if entry.llm else ()))
+
+
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(OWN) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, sf_dir, name):
     note = compare(spark, con, sf_dir, name)
     assert note.startswith("="), note
