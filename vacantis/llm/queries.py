@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantis.llm import packing, token_files
+from pyspark.sql import functions as F
+
+from vacantis.llm import compression, licences, packing, privacy, token_files, toxicity
+from vacantis.llm.labelled import judged, part_of
 from vacantis.session import fresh_folder
 
 
@@ -17,6 +20,26 @@ def op2_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(given(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs, part = given(spark, d, "documents"), part_of(F.col("doc_id"), 4)
+    model = toxicity.fit(docs, given(spark, d, "labels"), part != 2)
+    return judged(toxicity.score(docs, model), part == 2, toxicity.THRESHOLD)
+
+
+def op4_license_scans(spark: SparkSession, d: str) -> DataFrame:
+    return licences.scan_licences(given(spark, d, "documents"))
+
+
+def op7_pii(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.annotate(given(spark, d, "documents"))
+
+
+def op8_compression_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs, part = given(spark, d, "documents"), part_of(F.col("doc_id"), 3)
+    model = compression.fit(docs, given(spark, d, "labels"), part != 1)
+    return judged(compression.score(docs, model), part == 1, compression.THRESHOLD)
+
+
 def op9_token_files(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_folder(spark, "token-files")
     token_files.write_tokens(given(spark, d, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -24,7 +47,9 @@ def op9_token_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op2_best_fit_packing, op9_token_files)
+    found = (
+        op2_best_fit_packing, op3_toxicity, op4_license_scans, op7_pii, op8_compression_classifier, op9_token_files,
+    )
     return {q.__name__: q for q in found}
 
 
