@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vacantis.llm import compression, queries, toxicity
 from vacantis.llm.labelled import part_of, sample
 
-LARGER = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 
 
 def held_out(doc_id, parts, part):
@@ -23,7 +23,7 @@ def held_out(doc_id, parts, part):
 ])
 def test_held_out(spark, query, label, parts, part, threshold, least):
     got = {r.doc_id: r for r in query(spark, LARGER).collect()}
-    n = duckdb.sql(f"select count(*) from '{LARGER}/documents.parquet'").fetchone()[0]
+    n = duckdb.sql(f"select count(*) from '{LARGER}/documents.parquet'").fetchall()[0][0]
     assert len(got) == n
     for r in got.values():
         assert r.held_out == held_out(r.doc_id, parts, part) and 0 <= r.score <= 1

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -10,14 +11,19 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from vacantis.llm import packing, queries, token_files
+from vacantis.llm import packing, queries, token_files, tokens
 from vacantis.session import fresh_folder
 
 BYTES, WORDS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
+@lru_cache
+def tokenizer(path):
+    return Tokenizer.from_file(path)
+
+
 def ids_of(path, text):
-    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, 0]
+    return [*tokenizer(path).encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def crc(ids):
@@ -65,6 +71,18 @@ def test_empty_table(spark, none):
     assert packing.pack(none, WORDS).count() == 0
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_pieces_give_the_ids_of_whole_texts(path):
+    draw = random.Random(3)
+    marks = ["a", "Ab", "don't", " ", "  ", "\n", "\t ", "\xa0", "\x1c", "\x0b", "é", "ñ", "12", "!?", "<|endoftext|>", "<", "日本", "\u0301", "x" * 60]
+    texts = ["".join(draw.choice(marks[: draw.choice([6, 12, len(marks)])]) + draw.choice(["", " "]) for _ in range(draw.randint(0, 12))) for _ in range(800)]
+    made = tokens.Encoder(path)
+    for some in (texts[:400], texts[400:], texts[:5]):
+        ids, ends = made.encode(some, 0)
+        got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+        assert got == [ids_of(path, t) for t in some]
+
+
 def check_packing(got, docs, capacity):
     want = Counter()
     for doc_id, text in docs:

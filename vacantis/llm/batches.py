@@ -8,14 +8,16 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext, SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Rows that are worked on together; only memory depends on it.
-ROWS = 512
+# Rows and bytes of text that are worked on together; only memory depends on them.
+ROWS, TEXT_BYTES = 2048, 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -41,10 +43,15 @@ def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ROWS."""
+    """The same rows in batches of at most ROWS, and of TEXT_BYTES where no single text is longer."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
+        size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy() if "text" in batch.schema.names else np.zeros(batch.num_rows)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            n = int(np.searchsorted(ends[at : at + ROWS], done + TEXT_BYTES, "right"))
+            yield batch.slice(at, max(1, n))
+            at += max(1, n)
 
 
 def per_batch(

@@ -155,18 +155,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Instance:
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """One row per piece, with its task and its rank there among pieces of its length."""
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), Counter()
         for batch in small(batches):
             rows = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder(tokenizer).encode(batch["text"].to_pylist()), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            ids, ends = encoder(tokenizer).encode(batch["text"].to_pylist(), end_id)
+            for doc_id, a, b in zip(batch["doc_id"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                for piece, at in enumerate(range(a, b, capacity)):
+                    part = ids[at : min(at + capacity, b)].tobytes()
                     n = len(part) // 4
-                    rows.append((doc_id, piece, at // 4, n, zlib.crc32(part), task, seen[n], *[part] * keep_ids))
+                    rows.append((doc_id, piece, at - a, n, zlib.crc32(part), task, seen[n], *[part] * keep_ids))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types

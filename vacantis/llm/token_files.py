@@ -34,22 +34,18 @@ ROWS_PER_INDEX = 1_000
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, stripe_bytes: int = STRIPE_BYTES) -> None:
     """Write the ids of every document's whole text, and ``end_id``, to ORC files below ``path``."""
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in small(batches):
-            ids = [x + end for x in encoder(tokenizer).encode(batch["text"].to_pylist())]
-            sizes = np.array([len(x) // 4 for x in ids], "i8")
-            ends = np.cumsum(sizes)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            ids, ends = encoder(tokenizer).encode(batch["text"].to_pylist(), end_id)
+            sizes = np.diff(ends, prepend=0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
-                    pa.array(np.full(len(ids), part, "i4")),
+                    pa.array(np.full(len(ends), part, "i4")),
                     pa.array(at + ends - sizes),
                     pa.array(sizes),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), values),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(ids.view("<i4"))),
                 ],
                 ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
             )

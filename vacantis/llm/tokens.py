@@ -1,23 +1,40 @@
 """Token ids of whole texts by a public tokenizer.
 
-A text is cut before each run of blanks, a place where these tokenizers always end a token, and the
-ids of each piece are kept in a bounded table of the Python worker. The joined ids equal those of the
-whole text. A text with any other white space is encoded whole.
+These tokenizers end a token wherever white space follows something else. So a text is cut before each
+blank or line break that follows no white space, the pieces are looked up in a bounded table of the Python worker
+or encoded, and the ids are put together again; they equal those of the whole text. A
+text with white space before blanks is cut by a slower rule, one with unusual white space not at all.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+import sys
 from functools import lru_cache
 
 import numpy as np
 
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+OTHER_SPACE = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace() and chr(i) not in " \t\n\r"]
+SLOW = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 # Entries of the table, and the longest piece that it keeps.
-KEPT, KEPT_CHARS = 1 << 18, 64
+KEPT, KEPT_CHARS = 1 << 19, 48
+
+
+def pieces(text: str) -> list[str]:
+    """The text in pieces. One blank before a piece is left out; other pieces get one at their end, or begin a line."""
+    if any(x in text for x in OTHER_SPACE):
+        return [text + " "]
+    if any(x in text for x in SLOW):
+        return [p[1:] if p[0] == " " and not p[1:2].isspace() and " " not in p[1:] else p + " " for p in PIECE.findall(text)]
+    words = (text.replace("\n", " \n") if "\n" in text else text).split(" ")
+    words[0] += " "
+    return words
+
+
+def surface(piece: str) -> str:
+    return piece[:-1] if piece[-1:] == " " else piece if piece[:1] == "\n" else " " + piece
 
 
 class Encoder:
@@ -27,24 +44,56 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.mark: tuple[int, str] | None = None
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.stops = {c: self.new_ids([c])[0] for c in ".,"}
+        self.mark = next(((i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip)), None)
+
+    def new_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; those in one call are parted by a special token, which ends all others."""
+        if self.mark is None or any(self.mark[1][0] in t for t in texts):
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+        number, content = self.mark
+        joined = [content.join([*texts[i : i + 128], ""]) for i in range(0, len(texts), 128)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.asarray(x.ids, "<u4") for x in found])
+        ends = np.flatnonzero(ids == number).tolist()
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)]
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned 32-bit), with ``end_id`` behind each text's; where each text ends."""
+        flat: list[str] = []
+        n_pieces = []
+        for text in texts:
+            cut = pieces(text)
+            flat += cut
+            n_pieces.append(len(cut))
+        ids = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        found = self.ids_of({flat[i] for i in missing})
+        for i in missing:
+            ids[i] = found[flat[i]]
+        if len(self.known) < KEPT:
+            self.known.update((x, y) for x, y in found.items() if len(x) <= KEPT_CHARS)
+        ends = np.cumsum(np.fromiter(map(len, ids), "i8", len(ids))) // 4
+        of_text = np.concatenate([[0], ends])[np.cumsum(n_pieces)]
+        return np.insert(np.frombuffer(b"".join(ids), "<u4"), of_text, end_id), of_text + np.arange(1, len(texts) + 1)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
-        cut = [[text] if OTHER_SPACE.search(text) else PIECE.findall(text) for text in texts]
-        new = list({piece for pieces in cut for piece in pieces if piece not in known})
-        ids = dict(zip(new, self._ids(new), strict=True))
-        known.update((piece, ids[piece]) for piece in new if len(piece) <= KEPT_CHARS)
-        # long pieces are looked up in this call's own table
-        long = {piece: found for piece, found in ids.items() if len(piece) > KEPT_CHARS}
-        look = known.__getitem__ if not long else lambda piece: long[piece] if piece in long else known[piece]
-        return [b"".join(map(look, pieces)) for pieces in cut]
+    def ids_of(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the table lacks; a stop behind a known Latin word is a token of its own."""
+        found = {}
+        for x in new:
+            if x[-1:] in self.stops and x[-2:-1].isalnum() and x[-2] < "\u0250" and (word := self.known.get(x[:-1])) is not None:
+                found[x] = word + self.stops[x[-1]]
+        rest = [x for x in new if x not in found]
+        marked = [x for x in rest if self.mark and self.mark[1][0] in x]
+        plain = [x for x in rest if not (self.mark and self.mark[1][0] in x)]
+        for group in (marked, plain):
+            if group:
+                found.update(zip(group, self.new_ids([surface(x) for x in group]), strict=True))
+        return found
 
 
 @lru_cache(maxsize=2)

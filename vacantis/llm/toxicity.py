@@ -40,6 +40,7 @@ LANGUAGES = [*FUNCTION_WORDS, "other"]
 WIDTHS, FILTERS, DIMENSIONS, BUCKET_BITS, FIRST = (1, 2, 3), 8, 8, 18, 4
 LEAST_DOCS = 3  # training documents that must use a bucket
 PER_CLASS, EPOCHS, BATCH, RATE, DECAY = 3000, 6, 32, 0.05, 1e-4
+LEAST_SEEN, MOST_EPOCHS = 8000, 40  # small samples are gone through more often
 FOR_THRESHOLDS = 4  # one in so many labelled documents calibrates thresholds
 LEAST_TOXIC = 15  # calibration documents that a language needs for a threshold of its own
 THRESHOLD = 0.3
@@ -96,14 +97,14 @@ def outputs(net: Network, at: np.ndarray, pad: int) -> list[np.ndarray]:
     ]
 
 
-def padded(net: Network, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all texts, with zeros behind each; where each begins."""
+def padded(net: Network, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all texts, with zeros behind each; where each begins and ends. The window at its end is empty."""
     pad = max(WIDTHS)
     starts = np.cumsum([0, *[len(t) + pad for t in texts]])
     at = np.zeros((starts[-1] + pad, 2), "i4")
     for a, t in zip(starts, texts, strict=False):
         at[a : a + len(t)] = np.stack([net.rows[0][t[:, 0]], net.rows[1][t[:, 1]]], 1)
-    return at, starts[:-1]
+    return at, starts[:-1], starts[1:] - pad + 1
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
@@ -131,13 +132,13 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network
     seen_w = [np.full(w.shape, 1e-3, "f4") for w in net.filters]
     seen_b, seen_o, seen_c = np.full(net.bias.shape, 1e-3, "f4"), np.full(net.out.shape, 1e-3, "f4"), 1e-3
     offset = 0.0
-    for _ in range(EPOCHS if len(set(labels.tolist())) == 2 else 0):
+    epochs = min(MOST_EPOCHS, max(EPOCHS, LEAST_SEEN // max(1, len(texts))))
+    for _ in range(epochs if len(set(labels.tolist())) == 2 else 0):
         order = draw.permutation(len(texts))
         for first in range(0, len(order), BATCH):
             chosen = order[first : first + BATCH]
-            at, starts = padded(net, [texts[i] for i in chosen])
+            at, starts, ends = padded(net, [texts[i] for i in chosen])
             found = outputs(net, at, max(WIDTHS))
-            ends = [*starts[1:], len(found[0])]
             best = np.stack([[a + o[a:b].argmax(0) for a, b in zip(starts, ends, strict=True)] for o in found], 1)
             pooled = np.stack([o[best[:, k], np.arange(FILTERS)] for k, o in enumerate(found)], 1)
             active = pooled > 0
@@ -185,10 +186,11 @@ def logits(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     while pieces:
         n = 1 + int(np.searchsorted(np.cumsum([len(t) + pad for _, t in pieces]), STRETCH))
         taken, pieces = pieces[:n], pieces[n:]
-        at, starts = padded(net, [t for _, t in taken])
+        at, starts, ends = padded(net, [t for _, t in taken])
         owner = np.array([i for i, _ in taken])
+        bounds = np.stack([starts, ends], 1).ravel()
         for k, o in enumerate(outputs(net, at, pad)):
-            np.maximum.at(top[:, k], owner, np.maximum.reduceat(o, starts, axis=0))
+            np.maximum.at(top[:, k], owner, np.maximum.reduceat(o, bounds, axis=0)[::2])
     return (np.maximum(top, 0) * net.out).sum((1, 2)) + net.offset
 
 
