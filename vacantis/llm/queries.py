@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vacantis.llm import compression, licences, packing, privacy, token_files, toxicity
+from vacantis.llm import compression, licences, packing, privacy, token_files, toxicity, url_rules
 from vacantis.llm.labelled import judged, part_of
 from vacantis.session import fresh_folder
 
@@ -46,9 +46,18 @@ def op9_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
+    # pages are labelled by the document of the same number
+    labels = given(spark, d, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")
+    )
+    return url_rules.judge(given(spark, d, "pages"), labels)
+
+
 def queries() -> dict:
     found = (
         op2_best_fit_packing, op3_toxicity, op4_license_scans, op7_pii, op8_compression_classifier, op9_token_files,
+        op10_url_filters,
     )
     return {q.__name__: q for q in found}
 
