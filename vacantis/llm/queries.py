@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vacantis.llm import compression, licences, packing, privacy, token_files, toxicity, url_rules
+from vacantis.llm import compression, jaccard, licences, packing, privacy, token_files, toxicity, url_rules
 from vacantis.llm.labelled import judged, part_of
 from vacantis.session import fresh_folder
 
@@ -30,6 +30,10 @@ def op4_license_scans(spark: SparkSession, d: str) -> DataFrame:
     return licences.scan_licences(given(spark, d, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.join(given(spark, d, "documents"))
+
+
 def op7_pii(spark: SparkSession, d: str) -> DataFrame:
     return privacy.annotate(given(spark, d, "documents"))
 
@@ -56,7 +60,7 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op2_best_fit_packing, op3_toxicity, op4_license_scans, op7_pii, op8_compression_classifier, op9_token_files,
+        op2_best_fit_packing, op3_toxicity, op4_license_scans, op5_ngram_jaccard_join, op7_pii, op8_compression_classifier, op9_token_files,
         op10_url_filters,
     )
     return {q.__name__: q for q in found}
