@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vacantis.llm import compression, jaccard, licences, packing, privacy, token_files, toxicity, url_rules
+from vacantis.llm import compression, decontaminate, jaccard, licences, packing, privacy, quality_rules, token_files, toxicity, url_rules
 from vacantis.llm.labelled import judged, part_of
 from vacantis.session import fresh_folder
 
@@ -16,6 +16,10 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality_rules.judge(given(spark, d, "documents"), given(spark, d, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(given(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,6 +38,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.join(given(spark, d, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.leaks(given(spark, d, "documents"), given(spark, d, "benchmark"))
+
+
 def op7_pii(spark: SparkSession, d: str) -> DataFrame:
     return privacy.annotate(given(spark, d, "documents"))
 
@@ -60,7 +68,7 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op2_best_fit_packing, op3_toxicity, op4_license_scans, op5_ngram_jaccard_join, op7_pii, op8_compression_classifier, op9_token_files,
+        op1_quality_rules, op2_best_fit_packing, op3_toxicity, op4_license_scans, op5_ngram_jaccard_join, op6_decontamination, op7_pii, op8_compression_classifier, op9_token_files,
         op10_url_filters,
     )
     return {q.__name__: q for q in found}
