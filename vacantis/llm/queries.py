@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,8 +72,9 @@ def queries() -> dict:
         op1_quality_rules, op2_best_fit_packing, op3_toxicity, op4_license_scans, op5_ngram_jaccard_join, op6_decontamination, op7_pii, op8_compression_classifier, op9_token_files,
         op10_url_filters,
     )
-    return {q.__name__: q for q in found}
+    return {q.__name__: q for q in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """None: the methods (hashes, trained models, tokenizers, mined rules) are beyond SQL on whole tables."""
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

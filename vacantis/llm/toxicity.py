@@ -17,6 +17,7 @@ are not read. Long texts are worked on in stretches that overlap by a filter's w
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from vacantis.llm.batches import per_batch, texts_of
+from vacantis.llm.batches import in_arrow, per_batch, small, texts_of
 from vacantis.llm.labelled import sample
 
 WORD = re.compile(r"[^\W_]+")
@@ -228,19 +229,31 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
     return Model(net, thresholds)
 
 
-def score(docs: DataFrame, model: Model, *kept: str) -> DataFrame:
-    """doc_id (or the ``kept`` columns), score and guessed language of every whole text."""
+def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Score and guessed language of each whole text."""
+    read = [buckets(t) for t in texts]
+    language = np.array([k for _, k in read], "i8")
     shift = np.log(THRESHOLD / (1 - THRESHOLD))
+    z = logits(model.network, [b for b, _ in read]) - model.thresholds[language] + shift
+    return 1 / (1 + np.exp(-np.clip(z.astype("f8"), -30, 30))), [LANGUAGES[k] for k in language]
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score and guessed language of every whole text."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        read = [buckets(t) for t in batch["text"].to_pylist()]
-        language = np.array([k for _, k in read])
-        z = logits(model.network, [b for b, _ in read]) - model.thresholds[language] + shift
-        return {c: batch[c] for c in kept or ("doc_id",)} | {
-            "score": 1 / (1 + np.exp(-np.clip(z.astype("f8"), -30, 30))),
-            "language": [LANGUAGES[k] for k in language],
-        }
-
-    texts = texts_of(docs, *kept)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema if f.name != "text")
-    return per_batch(texts, work, schema + "score double, language string")
+        found, languages = scores(model, batch["text"].to_pylist())
+        return {"doc_id": batch["doc_id"], "score": found, "language": languages}
+
+    return per_batch(texts_of(docs), work, "doc_id long, score double, language string")
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below THRESHOLD."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            yield batch.filter(pa.array(scores(model, texts)[0] < THRESHOLD))
+
+    return in_arrow(docs, run, docs.schema)
