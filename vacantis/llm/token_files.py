@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, st
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", ROWS_PER_INDEX)
-        .option("compression", "zstd")
+        .option("compression", "none")  # the run-length encoding packs the ids already
         .orc(path)
     )
 

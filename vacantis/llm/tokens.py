@@ -17,6 +17,7 @@ import numpy as np
 
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_SPACE = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace() and chr(i) not in " \t\n\r"]
+OTHER_ASCII = [c for c in OTHER_SPACE if c.isascii()]
 SLOW = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 # Entries of the table, and the longest piece that it keeps.
 KEPT, KEPT_CHARS = 1 << 19, 48
@@ -24,7 +25,7 @@ KEPT, KEPT_CHARS = 1 << 19, 48
 
 def pieces(text: str) -> list[str]:
     """The text in pieces. One blank before a piece is left out; other pieces get one at their end, or begin a line."""
-    if any(x in text for x in OTHER_SPACE):
+    if any(x in text for x in (OTHER_ASCII if text.isascii() else OTHER_SPACE)):
         return [text + " "]
     if any(x in text for x in SLOW):
         return [p[1:] if p[0] == " " and not p[1:2].isspace() and " " not in p[1:] else p + " " for p in PIECE.findall(text)]
@@ -77,9 +78,12 @@ class Encoder:
             ids[i] = found[flat[i]]
         if len(self.known) < KEPT:
             self.known.update((x, y) for x, y in found.items() if len(x) <= KEPT_CHARS)
-        ends = np.cumsum(np.fromiter(map(len, ids), "i8", len(ids))) // 4
-        of_text = np.concatenate([[0], ends])[np.cumsum(n_pieces)]
-        return np.insert(np.frombuffer(b"".join(ids), "<u4"), of_text, end_id), of_text + np.arange(1, len(texts) + 1)
+        end, at, joined = np.asarray([end_id], "<u4").tobytes(), 0, []
+        for n in n_pieces:
+            joined += [b"".join(ids[at : at + n]), end]
+            at += n
+        ends = np.cumsum(np.fromiter(map(len, joined), "i8", len(joined)))[1::2] // 4
+        return np.frombuffer(b"".join(joined), "<u4"), ends
 
     def ids_of(self, new: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the table lacks; a stop behind a known Latin word is a token of its own."""
