@@ -71,7 +71,7 @@ def test_planted_items(spark):
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.leaks(df, spark.createDataFrame(items, ITEMS)).collect()}
     want = brute(docs, items)
     # windows are laid by shared 5-grams only: the best of them may be one word off the best of all
-    assert got.keys() <= want.keys() and len(want) > 60 and all(v <= want[k] for k, v in got.items())
+    assert got.keys() <= want.keys() and len(want) > 40 and all(v <= want[k] for k, v in got.items())
     # fingerprints of pairs near the threshold can lie beyond the radius
     missed = {k: v for k, v in want.items() if k not in got}
     assert len(missed) <= 0.02 * len(want) and all(v < 0.9 for v in missed.values())

@@ -199,10 +199,12 @@ def classes(docs: DataFrame, similarity: float, recall: float, most_hashes: int)
     nodes = sketched.filter("hi is not null").groupBy(node()).agg(F.min("doc_id").alias("least"))
     linked = nodes.join(labels, "node").select("node", "label", "least")
     named = linked.groupBy("label").agg(F.min("least").alias("class_id"))
-    # linked nodes by their component, the others by themselves
-    of_node = (
+    # linked nodes by their component, the others by themselves; stored, so that a join with a node of
+    # many copies stands alone and Spark can split it
+    of_node = stored(
         nodes.join(labels, "node", "left").join(named, "label", "left").join(counts, "node", "left")
-        .select("node", F.coalesce("label", "node").alias("class_node"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("node", F.coalesce("label", "node").alias("class_node"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        "node-classes",
     )
     return sketched.select("doc_id", "text_key", F.when(F.col("hi").isNotNull(), F.struct("hi", "lo")).alias("node")).join(
         of_node, "node", "left"
