@@ -20,6 +20,20 @@ from pyspark.sql.types import StructType
 ROWS, TEXT_BYTES = 2048, 4 << 20
 
 
+_table: dict[str, object] = {}
+
+
+def worker_table(name: str, make: Callable[[], object]):
+    """A table that this Python process keeps between tasks; asking for another one drops it.
+
+    So a worker that serves one operator after the other holds the table of one only.
+    """
+    if name not in _table:
+        _table.clear()
+        _table[name] = make()
+    return _table[name]
+
+
 @lru_cache(maxsize=1)
 def _ship(application: str) -> None:
     """Send this package's modules to the Python workers, once per application."""

@@ -9,9 +9,11 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
+from vacantis.llm.batches import worker_table
+
 WORD = re.compile(r"[^\W_]+")
 SIZE = 5  # words of a shingle
-KEPT = 1 << 19  # words of a worker's table
+KEPT = 1 << 18  # words of a worker's table
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,9 +27,8 @@ class Words(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def table() -> Words:
-    return Words()
+    return worker_table("shingle words", Words)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

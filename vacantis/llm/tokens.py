@@ -11,10 +11,11 @@ from __future__ import annotations
 import os
 import re
 import sys
-from functools import lru_cache
 
 import numpy as np
 
+from vacantis.llm.batches import worker_table
+
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_SPACE = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace() and chr(i) not in " \t\n\r"]
 OTHER_ASCII = [c for c in OTHER_SPACE if c.isascii()]
@@ -100,7 +101,6 @@ class Encoder:
         return found
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    return Encoder(path)
+    return worker_table(f"tokens of {path}", lambda: Encoder(path))

@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from vacantis.llm.batches import in_arrow, per_batch, small, texts_of
+from vacantis.llm.batches import in_arrow, per_batch, small, texts_of, worker_table
 from vacantis.llm.labelled import sample
 
 WORD = re.compile(r"[^\W_]+")
@@ -46,7 +45,7 @@ FOR_THRESHOLDS = 4  # one in so many labelled documents calibrates thresholds
 LEAST_TOXIC = 15  # calibration documents that a language needs for a threshold of its own
 THRESHOLD = 0.3
 STRETCH = 1 << 17  # words at a time
-KEPT = 1 << 19  # words of a worker's table
+KEPT = 1 << 18  # words of a worker's table
 
 
 class Words(dict):
@@ -65,9 +64,8 @@ class Words(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def table() -> Words:
-    return Words()
+    return worker_table("toxicity words", Words)
 
 
 def buckets(text: str) -> tuple[np.ndarray, int]:
