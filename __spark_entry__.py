@@ -131,7 +131,7 @@ def t1_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def t2_stream_dedup_by_url(spark: SparkSession, d: str) -> DataFrame:
     out = fresh_folder(spark, "dedup")
-    stream = ingest.stream_dedup_by_url(b.incoming_of(_stream(spark, d, "lineitem")), _ingest_ts())
+    stream = ingest.stream_dedup_by_url(b.incoming_of(_stream(spark, d, "lineitem")))
     query = (
         stream.select("url").writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", fresh_folder(spark, "dedup-state"))
@@ -143,8 +143,10 @@ def t2_stream_dedup_by_url(spark: SparkSession, d: str) -> DataFrame:
 
 def t3_stream_progress(spark: SparkSession, d: str) -> DataFrame:
     out = fresh_folder(spark, "progress")
-    ingest.stream_progress(b.progress_of(_stream(spark, d, "events")), out, fresh_folder(spark, "progress-state"))
-    return spark.read.parquet(out)
+    ingest.stream_progress(
+        b.progress_of(_stream(spark, d, "events")), out, fresh_folder(spark, "progress-state"), b.declared_sources(spark, d)
+    )
+    return ingest.read_progress(spark, out)
 
 
 def t4_ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -180,6 +182,9 @@ def queries() -> dict[str, Query]:
     q["f7_split_invalid"] = lambda spark, d: schema.split_invalid(
         b.incoming(spark, d).withColumn("title", text.non_empty(C("title"))), list(upsert.RUN_ORDER)
     )[1].select(*upsert.RUN_ORDER, "url", "violation")
+    q["f9_parameter_bounds"] = _jobs(
+        lambda j: search.newest_first(j, search.bounded("limit", fixed.SEARCH_LIMIT[1], fixed.SEARCH_LIMIT), 3).select("id")
+    )
     q["f8_has_title_and_url"] = lambda spark, d: upsert.has_title_and_url(b.incoming(spark, d)).select(
         *upsert.RUN_ORDER, "url", "title"
     )
@@ -225,7 +230,9 @@ def queries() -> dict[str, Query]:
     q["a10_ingest_stats"] = _jobs(counts.ingest_stats)
     q["a11_skill_month_counts"] = _jobs(counts.skill_month_counts)
     q["a12_skill_month_counts_all"] = _jobs(counts.skill_month_counts_all)
-    q["a13_ingest_progress"] = lambda spark, d: progress.ingest_progress(b.progress(spark, d))
+    q["a13_ingest_progress"] = lambda spark, d: progress.ingest_progress(
+        b.progress(spark, d), b.declared_sources(spark, d)
+    )
     q["a14_source_progress"] = lambda spark, d: progress.source_progress(b.progress(spark, d))
     q["a15_overview"] = _jobs(overview.overview)
     q["a15_overview_filtered"] = _jobs(lambda j: overview.overview(j, source="5-LOW", top_n=20))
@@ -245,7 +252,8 @@ def queries() -> dict[str, Query]:
     )
     q["l6_top_cities"] = _jobs(counts.top_cities)
     q["l7_links_per_page"] = lambda spark, d: extract.extract_links(
-        b.given(spark, d, "pages"), wanted="/", unwanted=[], base="https://pages.example"
+        b.given(spark, d, "pages"), wanted="/", unwanted=[], base="https://pages.example",
+        per_page=fixed.MICRODATA_LINKS_PER_PAGE,
     )
     q["l8_sorted_months"] = lambda spark, d: _json(
         _months(spark, d).groupBy("category", "skill").agg(F.array_sort(F.collect_list("month")).alias("months")),

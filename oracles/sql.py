@@ -182,7 +182,7 @@ O["f6_non_empty"] = q("SELECT id, contract_type FROM jobs WHERE contract_type <>
 O["f7_split_invalid"] = q(
     "SELECT * FROM (SELECT term_seq, page_seq, pos, url, CASE WHEN source IS NULL THEN 'missing_source' "
     "WHEN title IS NULL OR title = '' THEN 'missing_title' WHEN url IS NOT NULL AND row_number() OVER "
-    "(PARTITION BY url ORDER BY term_seq, page_seq, pos) > 1 THEN 'duplicate_url' END AS violation FROM incoming) "
+    "(PARTITION BY url ORDER BY source IS NULL OR title IS NULL OR title = '', term_seq, page_seq, pos) > 1 THEN 'duplicate_url' END AS violation FROM incoming) "
     "WHERE violation IS NOT NULL",
     base="incoming",
 )
@@ -356,8 +356,11 @@ O["a13_ingest_progress"] = q(
     "FROM (SELECT task_id, sum(processed_jobs)::BIGINT AS processed_jobs, sum(total_jobs)::BIGINT AS total_jobs, "
     "sum(saved_jobs)::BIGINT AS saved_jobs, count(*) AS total_sources, count(*) FILTER (status IN ('completed', 'error')) AS completed_sources, "
     "first(source ORDER BY first_ts, first_event) FILTER (status = 'running') AS current_source, "
-    "count(*) FILTER (status = 'error') AS errors FROM states GROUP BY task_id)",
-    *STATES, base="progress_events",
+    "count(*) FILTER (status = 'error') AS errors FROM all_states GROUP BY task_id)",
+    *STATES,
+    ("all_states", "SELECT task_id, source, status, processed_jobs, total_jobs, saved_jobs, first_ts, first_event FROM states UNION ALL "
+                   "SELECT DISTINCT task_id, 'archive', 'queued', 0, 0, 0, NULL::TIMESTAMP, NULL::BIGINT FROM states WHERE task_id % 5 = 3"),
+    base="progress_events",
 )
 O["t3_stream_progress"] = O["a13_ingest_progress"]
 
@@ -408,6 +411,7 @@ O["a15_overview_filtered"] = overview("source = '5-LOW'", 20)
 # --- sort, limit, top-k ------------------------------------------------------
 NEWEST = "ORDER BY scraped_at DESC NULLS LAST, id DESC"
 O["l1_page"] = q(f"SELECT id, scraped_at, title FROM jobs WHERE source = '2-HIGH' {NEWEST} LIMIT 50 OFFSET 100")
+O["f9_parameter_bounds"] = q(f"SELECT id FROM jobs {NEWEST} LIMIT 200 OFFSET 3")
 O["l2_search_jobs"] = q(
     f"SELECT id, scraped_at, title, (SELECT count(*) FROM hits) AS total FROM hits {NEWEST} LIMIT 25 OFFSET 50",
     ("hits", "SELECT * FROM jobs WHERE city = 'CUCUTA' AND (title ILIKE '%engineer%' OR company ILIKE '%engineer%' OR description ILIKE '%engineer%')"),
@@ -644,18 +648,18 @@ def found(doc: str, pattern: str) -> str:
     return f"CASE WHEN regexp_matches({doc}, {lit(pattern)}) THEN regexp_extract({doc}, {lit(pattern)}, 1) END"
 
 
-def links(src: str, wanted: str, unwanted: list[str], base: str) -> str:
+def links(src: str, wanted: str, unwanted: list[str], base: str, first: str = "") -> str:
     test = f"contains(h, {lit(wanted)})" + "".join(f" AND NOT contains(h, {lit(u)})" for u in unwanted)
     return (
         f"SELECT page_id, i - 1 AS pos, {absolute('l[i]', base)} AS url FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM "
-        f"(SELECT page_id, list_filter(regexp_extract_all({bare('html')}, '<a [^>]*href=\"([^\"]*)\"', 1), lambda h: {test})[1:10] AS l FROM {src}))"
+        f"(SELECT page_id, list_filter(regexp_extract_all({bare('html')}, '<a [^>]*href=\"([^\"]*)\"', 1), lambda h: {test}){first} AS l FROM {src}))"
     )
 
 
 O["h4_extract_links"] = q(
     links("microdata_pages", "/empleos/", ["/tag/", "/ciudad/"], fixed.MICRODATA_SITE_URL), base="microdata_pages"
 )
-O["l7_links_per_page"] = links("pages", "/", [], "https://pages.example")
+O["l7_links_per_page"] = links("pages", "/", [], "https://pages.example", "[1:10]")
 
 CARD_CITIES = " OR ".join(f"contains(t, {lit(c)})" for c in fixed.CARD_CITY_NAMES)
 CARDS = [

@@ -1,5 +1,8 @@
 """Element extraction on nested and irregular markup."""
 
+import html
+
+import pytest
 from pyspark.sql import functions as F
 
 from vacantis.functions import markup as m
@@ -63,3 +66,13 @@ def test_first_card_of_a_url_decides_on_its_page(spark):
     pages = spark.createDataFrame([(1, 0, 0, html)], "page_id long, term_seq long, page_seq long, html string")
     got = extract.extract_cards(pages).collect()
     assert [(r["title"], r["company"], r["contract_type"]) for r in got] == [("B", "ACME", "Fijo")]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("&#9999999; &#xFFFFFF; &#xD800; &#0;", "\ufffd \ufffd \ufffd \ufffd"), ("&#150;&#x80;", "\u2013\u20ac"), ("&#00000038;&#38x", "&&x"),
+    ("&plus;&lbrack;a&nbsp b&copyx", "+[a\xa0 b\xa9x"), ("&zzz; & &; &#; &#x;", "&zzz; & &; &#; &#x;"), ("&AMP;lt;", "&lt;"),
+    ("&#99999999999999999999999999;", "\ufffd"), ("&notit; &notin;", "\xacit; \u2209"),
+])
+def test_references(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(m.unescape(F.col("t"))).first()[0]
+    assert got == want == html.unescape(text)

@@ -132,3 +132,13 @@ def test_parse_iso_timestamp(spark):
         "2024-05-17T10:00:00Z", "2024-05-17T22:15:00-05:00", "2024-05-17", "soon", None])
     assert [str(v) for v in got] == [
         "2024-05-17 10:00:00", "2024-05-18 03:15:00", "2024-05-17 00:00:00", "2024-06-01 00:00:00", "2024-06-01 00:00:00"]
+
+
+def test_iso_timestamp_with_many_digits(spark):
+    stamp = F.to_timestamp_ntz(F.lit("2024-06-01 00:00:00"))
+    got = apply(spark, lambda c: parsing.parse_iso_timestamp(c, stamp).cast("string"), ["2024-05-17T10:00:00.1234567Z", "2024-05-17T10:00:00.12x"])
+    assert got == ["2024-05-17 10:00:00.123456", "2024-06-01 00:00:00"]
+
+
+def test_detect_english_under_many_marks(spark):
+    assert apply(spark, text.detect_english, ["i" + "\u0301" * 9 + "ngles", "No REQUIERE\xa0 Ingle\u0301s", "pingles"]) == [True, False, None]

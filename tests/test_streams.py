@@ -38,10 +38,16 @@ def test_ingest_stream_equals_merge_in_order(spark, sf_dir, incoming):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     # nothing new: the store stays at its version
     assert ingest.ingest_stream(stream, root, state, stamp()) == 3
+    # a new checkpoint goes on from the latest version and loses nothing
+    late = incoming.limit(3).withColumn("url", F.concat(F.lit("new-"), F.monotonically_increasing_id()))
+    late = late.withColumn("title", F.lit("t")).withColumn("source", F.when(F.col("url") != "new-0", "s"))
+    assert ingest.ingest_stream(landed(spark, late, 1, "url"), root, fresh_folder(spark, "state"), stamp(), skip_existing=True) == 4
+    assert tables.read_snapshot(spark, root).count() == want.count() + 2
+    assert tables.committed(spark, root, state, 2) and not tables.committed(spark, root, state, 3)
 
 
 def test_stream_dedup_across_batches(spark, incoming):
-    stream = ingest.stream_dedup_by_url(landed(spark, incoming, 3, "pos"), stamp(), "4000 days")
+    stream = ingest.stream_dedup_by_url(landed(spark, incoming, 3, "pos"))
     out = fresh_folder(spark, "out")
     stream.select("url").writeStream.format("parquet").option(
         "checkpointLocation", fresh_folder(spark, "state")
@@ -55,7 +61,7 @@ def test_stream_progress_equals_batch(spark, sf_dir):
     events = b.progress(spark, sf_dir)
     out = fresh_folder(spark, "progress")
     ingest.stream_progress(landed(spark, events, 3, "event_id"), out, fresh_folder(spark, "state"))
-    got, want = spark.read.parquet(out), progress.ingest_progress(events)
+    got, want = ingest.read_progress(spark, out), progress.ingest_progress(events)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
@@ -76,3 +82,12 @@ def test_observed_counters(spark, sf_dir, incoming):
     watched.write.format("noop").mode("overwrite").save()
     want = upsert.upsert_counts(merged).first()
     assert seen.get["saved"] == want["saved"] and seen.get["inserted"] == want["inserted"]
+
+
+def test_declared_sources_without_events_are_queued(spark):
+    event = "task_id long, source string, ts timestamp, event_id long, status string, processed_jobs int, total_jobs int, saved_jobs int, message string"
+    stamp_of = __import__("datetime").datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, "a", stamp_of, 1, "completed", 3, 3, 2, "m")], event)
+    declared = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "task_id long, source string")
+    got = {r.task_id: (r.status, r.total_sources, r.completed_sources, r.progress_pct) for r in progress.ingest_progress(events, declared).collect()}
+    assert got == {1: ("running", 2, 1, 100.0), 2: ("queued", 1, 0, 0.0)}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from vacantis import schema
-from vacantis.operators import counts, derive, search, upsert
+from vacantis.operators import counts, derive, extract, search, upsert
 from vacantis.plans import forecast, overview
 from vacantis.session import fresh_folder
 from vacantis.sources import bindings as b
@@ -60,11 +60,9 @@ def test_empty_parameters_set_no_test(stored):
 
 
 @pytest.mark.parametrize("offset", [0, 777, 1470, 1490, 5000])
-def test_deep_page_equals_direct_page(stored, monkeypatch, offset):
-    narrow = stored.select("id", "scraped_at")
-    direct = search.newest_first(narrow, 20, offset).collect()
-    monkeypatch.setattr(search, "DIRECT_ROWS", 1)
-    assert search.newest_first(narrow, 20, offset).collect() == direct
+def test_page_of_all_rows_in_order(stored, offset):
+    rows = sorted(stored.select("id", "scraped_at").collect(), key=lambda r: (r.scraped_at is not None, r.scraped_at or 0, r.id), reverse=True)
+    assert search.newest_first(stored, 20, offset).select("id", "scraped_at").collect() == rows[offset : offset + 20]
 
 
 def test_get_by_url_null(spark):
@@ -169,3 +167,25 @@ def test_empty_selection_reports_zero(stored):
         ("total_jobs", ""): 0.0, ("salary", "avg_salary_min"): None, ("salary", "avg_salary_max"): None,
         ("salary", "with_salary_min_count"): 0.0, ("salary", "with_salary_max_count"): 0.0,
     }
+
+
+def test_a_refused_row_takes_no_url(spark):
+    rows = [(1, "s", None, "u"), (2, "s", "t", "u"), (3, "s", "t", "u"), (4, None, "t", "v"), (5, "s", "t", "v"), (6, "s", "t", None), (7, "s", "t", None)]
+    valid, refused = schema.split_invalid(spark.createDataFrame(rows, "id long, source string, title string, url string"))
+    assert sorted(r.id for r in valid.collect()) == [2, 5, 6, 7]
+    assert {r.id: r.violation for r in refused.collect()} == {1: "missing_title", 3: "duplicate_url", 4: "missing_source"}
+
+
+def test_page_fetched_twice_gives_one_posting(spark, sf_dir):
+    stamp = F.to_timestamp_ntz(F.lit("2024-06-01 00:00:00"))
+    listing, details, micro = (f(spark, sf_dir) for f in (b.listing_pages, b.detail_pages, b.microdata_pages))
+    listing, details, micro = listing.limit(3), details.limit(40), micro.limit(20)
+    again = lambda df: df.union(df.withColumn("page_id", F.col("page_id") + 1_000_000))
+    once = extract.build_raw_postings(listing, details, micro, stamp)
+    twice = extract.build_raw_postings(listing, again(details), again(micro), stamp)
+    urls = [r.url for r in twice.select("url").collect()]
+    assert len(urls) == len(set(urls)) and set(urls) == {r.url for r in once.select("url").collect()}
+    # a first fetch without title does not hide the second
+    blank = micro.withColumn("html", F.regexp_replace("html", "(?s)<h1.*?</h1>", "")).union(micro.withColumn("page_id", F.col("page_id") + 1_000_000))
+    found = {r.url for r in extract.build_raw_postings(listing, details, blank, stamp).select("url").collect()}
+    assert found == set(urls)

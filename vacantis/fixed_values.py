@@ -179,7 +179,6 @@ DETAIL_CONTRACT_CLASS = "contract-type"
 DETAIL_LABEL_CLASS = "summary_label"
 DETAIL_TEXT_CLASS = "JobOfferDetailContent_content"
 DETAIL_SKILL_CLASS = "skill_name"
-DETAIL_SKILL_ATTR = "data-skill"
 DETAIL_SKILL_FALLBACK = "skill"
 DETAIL_SKILL_FALLBACK_MAX = 50
 

@@ -7,7 +7,7 @@ tags of the same name, so nested markup is kept whole.
 from __future__ import annotations
 
 import re
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -182,28 +182,42 @@ def _after(part: Column, name: str) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Character references resolved; unknown ones stay."""
-    named = literal_map({name: chr(code) for name, code in name2codepoint.items()})
+    """Character references resolved as HTML does; unknown names stay.
 
-    def from_code(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    Old names work without semicolon. Numbers that are no character become U+FFFD, those of
+    the C1 range the character that Windows-1252 has there.
+    """
+    named = literal_map({name[:-1]: value for name, value in html5.items() if name.endswith(";")})
+    old_names = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+    old = "^(" + "|".join(old_names) + ")"
+    windows = literal_map({
+        str(code): bytes([code]).decode("cp1252") for code in range(0x80, 0xA0) if code not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+    })
+
+    def from_code(digits: Column, base: int) -> Column:
+        short = F.ltrim(digits, F.lit("0"))
+        code = F.when(F.length(short) <= 7, F.conv(F.concat(F.lit("0"), short), base, 10).cast("long"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(windows, code.cast("string")), char)
 
     def resolve(part: Column) -> Column:
-        name = F.regexp_extract(part, r"^(#?\w+);", 1)
-        decimal = F.regexp_extract(part, r"^#(\d{1,7});", 1)
-        hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
-        char = (
-            F.when(decimal != "", from_code(F.conv(decimal, 10, 16)))
-            .when(hexa != "", from_code(hexa))
-            .otherwise(F.try_element_at(named, name))
+        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        decimal = F.regexp_extract(part, r"^#([0-9]+)", 1)
+        hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+)", 1)
+        older = F.regexp_extract(part, old, 1)
+        numeric = F.when(decimal != "", from_code(decimal, 10)).when(hexa != "", from_code(hexa, 16))
+        general = (
+            F.when(numeric.isNotNull(), F.concat(numeric, F.regexp_replace(part, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")))
+            .when(F.try_element_at(named, name).isNotNull(), F.concat(F.try_element_at(named, name), F.regexp_replace(part, r"^\w+;", "")))
+            .when(older != "", F.concat(F.try_element_at(named, older), F.substr(part, F.length(older) + 1)))
+            .otherwise(F.concat(F.lit("&"), part))
         )
-        rest = F.regexp_replace(part, r"^#?\w+;", "")
-        general = F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
         # the usual references are settled by a prefix test
         (head, *tail) = ("amp", "lt", "gt", "quot", "nbsp")
         out = F.when(F.startswith(part, F.lit(f"{head};")), _after(part, head))
-        for name in tail:
-            out = out.when(F.startswith(part, F.lit(f"{name};")), _after(part, name))
+        for usual in tail:
+            out = out.when(F.startswith(part, F.lit(f"{usual};")), _after(part, usual))
         return out.otherwise(general)
 
     def resolve_all(parts: Column) -> Column:

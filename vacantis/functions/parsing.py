@@ -107,9 +107,9 @@ def parse_publish_date(text: Column) -> Column:
 def parse_iso_timestamp(text: Column, ingest_ts: Column) -> Column:
     """ISO timestamp in UTC without zone; an unreadable or missing one becomes ``ingest_ts``.
 
-    A zone moves the clock time to UTC; a text without zone is taken as it stands.
+    Digits beyond microseconds are cut. A zone moves the clock time to UTC; a text without zone is taken as it stands.
     """
-    body = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?(Z|[+-]\d{2}:?\d{2})?$"
+    body = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(?:(?<=\.\d{6})\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 
     def part(value: Column, group: int) -> Column:
         return F.nullif(F.regexp_extract(value, body, group), F.lit(""))

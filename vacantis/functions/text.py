@@ -128,104 +128,39 @@ def detect_work_mode(location: Column, contract_type: Column) -> Column:
 
 # --- English requirement -----------------------------------------------------
 
-@lru_cache(maxsize=1)
-def _accented_letters() -> dict[str, str]:
-    """ASCII letter -> every other code point that folds to it in lower case."""
-    out: dict[str, str] = {}
-    for ch in map(chr, range(0x80, 0x2FA20)):
-        if unicodedata.decomposition(ch):
-            folded = _fold(ch.lower())
-            if len(folded) == 1 and folded.isascii():
-                out[folded] = out.get(folded, "") + ch
-    return out
-
-
-def _letter(letter: str) -> str:
-    """Class of all code points that fold to ``letter``.
-
-    ASCII characters leave the class after one test: the accented ones sit behind an
-    intersection with the non-ASCII range.
-    """
-    own = letter + letter.upper() if letter.isalpha() else letter
-    accented = _accented_letters().get(letter)
-    return f"[{own}[\\u0080-\\x{{10FFFF}}&&[{accented}]]]" if accented else f"[{own}]"
-
-
-MARKS = r"\p{Mn}*+"
-
-
-@lru_cache(maxsize=None)
-def _folded_pattern(pattern: str) -> str:
-    """Rewrite a pattern on folded text so that it matches the raw text.
-
-    This spares lower-casing and accent-stripping of whole descriptions.
-    """
-    out, rest = [], pattern
-    while rest:
-        if rest.startswith(".*"):
-            out.append(".*")
-            rest = rest[2:]
-            continue
-        if rest[0] == " ":
-            out.append(rf"(?:{SPACE}{MARKS})++")
-        else:
-            out.append(_letter(rest[0]) + MARKS)
-        rest = rest[1:]
-    return "".join(out)
-
-
-STEM = "ngl"  # shared by both language words
-
-
-def _from_stem(pattern: str, before_first: str = "") -> str:
-    """Pattern of a phrase that starts with a language word, anchored at the word's stem.
-
-    The stem is rare, so the scan is fast; the first letter is only looked back at.
-    """
-    back = "".join(_letter(ch) + r"\p{Mn}{0,8}" for ch in pattern[: 1 + len(STEM)])
-    return f"(?s){_folded_pattern(STEM)}(?<={before_first}{back}){_folded_pattern(pattern[1 + len(STEM):])}"
-
-
-def _phrase(pattern: str) -> str:
-    return _from_stem(pattern) if pattern[1:].startswith(STEM) else "(?s)" + _folded_pattern(pattern)
-
-
-def _whole_word(word: str) -> str:
-    """The word with no letter, digit or underscore on either side."""
-    letter = r"[\p{L}\p{N}_]"
-    return _from_stem(word, rf"(?<!{letter}\p{{Mn}}{{0,8}})") + f"(?!{letter})"
+STEM = "ngl"  # shared by all phrases about the language
+_PHRASES = [*fixed.ENGLISH_NEGATIVE, *fixed.ENGLISH_POSITIVE, *fixed.ENGLISH_MENTION]
+if not all(STEM in phrase for phrase in _PHRASES):
+    raise ValueError(f"every phrase about English must hold {STEM!r}, by which texts are told apart first")
 
 
 def _any_match(text: Column, patterns: list[str]) -> Column:
     """One test per pattern: a pattern that starts with one class scans far faster
     than an alternation, which tries every branch at every position."""
-    out = text.rlike(patterns[0])
-    for pattern in patterns[1:]:
-        out = out | text.rlike(pattern)
+    out = F.lit(False)
+    for pattern in patterns:
+        out = out | text.rlike("(?s)" + pattern.replace(" ", f"{SPACE}+"))
     return out
 
 
 def detect_english(*texts: Column) -> Column:
     """Three-valued: FALSE when refused, TRUE when asked for or mentioned, else NULL.
 
-    Both language words share the letters "ngl" and most refusals share "requi", so two
-    short scans settle most texts. The raw text is searched; nothing is copied or folded.
+    The text is lower-cased and, where it is not ASCII, folded once; texts without the stem
+    end there.
     """
-    with_stem = [p for p in fixed.ENGLISH_NEGATIVE if "requi" in p]
-    without_stem = [p for p in fixed.ENGLISH_NEGATIVE if "requi" not in p]
+    letter = r"[\p{L}\p{N}_]"
 
-    def verdict(text: Column) -> Column:
-        refused = _any_match(text, [_phrase(p) for p in without_stem]) | (
-            text.rlike(_phrase("requi")) & _any_match(text, [_phrase(p) for p in with_stem])
-        )
+    def verdict(folded: Column) -> Column:
+        mentioned = _any_match(folded, [f"(?<!{letter}){w}(?!{letter})" for w in fixed.ENGLISH_MENTION])
         return (
-            F.when(~text.rlike(_phrase(STEM)), F.lit(None).cast("boolean"))
-            .when(refused, F.lit(False))
-            .when(_any_match(text, [_whole_word(w) for w in fixed.ENGLISH_MENTION]), F.lit(True))
-            .when(_any_match(text, [_phrase(p) for p in fixed.ENGLISH_POSITIVE]), F.lit(True))
+            F.when(~F.contains(folded, F.lit(STEM)), F.lit(None).cast("boolean"))
+            .when(_any_match(folded, fixed.ENGLISH_NEGATIVE), F.lit(False))
+            .when(mentioned, F.lit(True))
+            .when(_any_match(folded, fixed.ENGLISH_POSITIVE), F.lit(True))
         )
 
-    return let(F.concat_ws(" ", *texts), verdict)
+    return let(strip_accents(F.lower(F.concat_ws(" ", *texts))), verdict)
 
 
 # --- location and city -------------------------------------------------------

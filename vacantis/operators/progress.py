@@ -20,6 +20,15 @@ def latest_states(events: DataFrame) -> DataFrame:
     )
 
 
+def with_declared(states: DataFrame, declared: DataFrame | None) -> DataFrame:
+    """States of all sources of a task: declared (task_id, source) without events are ``queued``."""
+    if declared is None:
+        return states
+    silent = declared.select("task_id", "source").distinct().join(states, ["task_id", "source"], "left_anti")
+    zero = {c: F.lit(0) for c in COUNTERS} | {"status": F.lit("queued"), "message": F.lit("Pendiente")}
+    return states.unionByName(silent.withColumns(zero), allowMissingColumns=True)
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.bround(part / whole * 100.0, 2)
 
@@ -51,17 +60,20 @@ def task_progress_of(states: DataFrame) -> DataFrame:
         F.count_if(finished).alias("completed_sources"),
         F.min(running)["source"].alias("current_source"),
         F.count_if(F.col("status") == "error").alias("_errors"),
+        F.count_if(F.col("status") == "queued").alias("_queued"),
     )
     done, total = F.col("completed_sources"), F.col("total_sources")
     return tasks.withColumns({
         "progress_pct": F.when(
             F.col("total_jobs") > 0, _share(F.col("processed_jobs"), F.col("total_jobs"))
         ).otherwise(_share(done, total)),
-        "status": F.when(done < total, "running")
+        "status": F.when(F.col("_queued") == total, "queued")
+        .when(done < total, "running")
         .when(F.col("_errors") > 0, "completed_with_errors")
         .otherwise("completed"),
-    }).drop("_errors")
+    }).drop("_errors", "_queued")
 
 
-def ingest_progress(events: DataFrame) -> DataFrame:
-    return task_progress_of(latest_states(events))
+def ingest_progress(events: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Progress of tasks; ``declared`` names the sources that each was started with."""
+    return task_progress_of(with_declared(latest_states(events), declared))

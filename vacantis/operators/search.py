@@ -5,15 +5,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacantis import fixed_values as fixed
 from vacantis.functions.text import non_empty
 
-# wide rows are sorted directly up to this many; deeper pages skip whole days first
-DIRECT_ROWS = 20_000
-
 
 def bounded(name: str, value: int, bounds: tuple[int, int | None]) -> int:
     """Check a parameter against its allowed range."""
@@ -74,35 +70,17 @@ def count_filtered(df: DataFrame, search: str | None = None, **filters: str | No
 
 
 def newest_first(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Rows ``offset .. offset+limit`` by fetch time and id, newest first."""
-    order = [F.col("scraped_at").desc_nulls_last(), F.col("id").desc()]
-    if offset + limit > DIRECT_ROWS:
-        df, offset = _skip_days(df, limit, offset)
-    return df.orderBy(*order).offset(offset).limit(limit)
-
+    """Rows ``offset .. offset+limit`` by fetch time and id, newest first.
 
-def _skip_days(df: DataFrame, limit: int, offset: int) -> tuple[DataFrame, int]:
-    """Keep the fetch days a deep page touches, so that only they are sorted.
-
-    The running count covers one row per calendar day.
+    Only fetch times and ids are ordered; the page's rows, ``limit`` of them, are looked up.
     """
-    day = F.col("scraped_at").cast("date")
-    newest = W.orderBy(F.col("day").desc_nulls_last())
-    before = F.coalesce(F.sum("n").over(newest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    days = df.groupBy(day.alias("day")).agg(F.count("*").alias("n")).withColumn("before", before)
-    touched = days.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
-    span = touched.agg(
-        F.min("before").alias("before"),
-        F.min("day").alias("oldest"),
-        F.max("day").alias("newest"),
-        F.bool_or(F.col("day").isNull()).alias("undated"),
-    ).first()
-    if span["before"] is None:
-        return df.limit(0), 0
-    keep = day.between(F.lit(span["oldest"]), F.lit(span["newest"]))
-    if span["undated"]:
-        keep = keep | day.isNull() if span["oldest"] is not None else day.isNull()
-    return df.where(keep), offset - span["before"]
+    bounded("limit", limit, (0, None))
+    bounded("offset", offset, (0, None))
+    order = [F.col("scraped_at").desc_nulls_last(), F.col("id").desc()]
+    page = df.select("scraped_at", "id").orderBy(*order).offset(offset).limit(limit)
+    keys = page.select(F.col("scraped_at").alias("_at"), F.col("id").alias("_id"))
+    on = F.col("scraped_at").eqNullSafe(F.col("_at")) & F.col("id").eqNullSafe(F.col("_id"))
+    return df.join(keys, on, "left_semi").orderBy(*order).limit(limit)
 
 
 def search_jobs(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vacantis.functions.skills import normalize_skills
 from vacantis.functions.text import non_empty
 from vacantis.schema import JOBS_SCHEMA
+from vacantis.session import stored
 
 TEXT_FIELDS = [
     "title", "company", "city", "location_text", "contract_type", "work_mode", "currency", "description",
@@ -87,12 +88,14 @@ def upsert_fill_missing(
 
     A stored posting with the same url gets its empty fields filled (``enriched``, or
     ``unchanged`` when nothing was missing); an unknown url is ``inserted``; postings the
-    batch does not mention have no change. ``incoming`` holds one row per url.
+    batch does not mention have no change. ``incoming`` holds one row per url; it is stored
+    first, as it is read several times.
 
     The stored side is the left side of one join: when the batch is small enough, Spark
     broadcasts it by measured size and the stored rows are never shuffled.
     """
     ingest_ts = F.lit(None) if ingest_ts is None else ingest_ts
+    incoming = stored(incoming, "batch")
     fields = TEXT_FIELDS + TYPED_FIELDS + ["skills"]
     batch = incoming.select(
         F.col("url").alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in fields]
@@ -138,12 +141,14 @@ def enrich_from_detail(cards: DataFrame, details: DataFrame, ingest_ts: Column)
     """Card fields overridden by non-empty detail fields of the same url.
 
     A detail salary of 0 counts as empty. The publication date is the detail's, even when
-    unknown; ``ingest_ts`` stands in only where no detail was fetched.
+    unknown; ``ingest_ts`` stands in only where no detail was fetched. Of several fetches of
+    one detail page the last counts.
     """
     texts, salaries = ["company", "contract_type", "city", "currency"], ["salary_min", "salary_max"]
     only_detail = ["location_text", "work_mode", "description", "skills"]
     columns = texts + salaries + only_detail + ["published_at"]
-    detail = details.select(
+    latest = W.partitionBy("url").orderBy(F.col("page_id").desc())
+    detail = details.withColumn("_nth", F.row_number().over(latest)).where("_nth = 1").select(
         "url", F.lit(True).alias("_fetched"), *[F.col(c).alias(f"_{c}") for c in columns]
     )
     card_columns = [c for c in cards.columns if c not in columns]

@@ -54,29 +54,26 @@ def project_read_shape(df: DataFrame) -> DataFrame:
 def flag_invalid(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Add ``violation``: NULL, ``missing_source``, ``missing_title`` or ``duplicate_url``.
 
-    Of several rows with one url the first by ``order`` stays valid, as under a unique
-    index. Copies are counted by a partial aggregate, so a url that holds a large share
-    of the rows never gathers in one task; rows without url are spread by their own key.
+    Of several rows with one url that have source and title the first by ``order`` stays
+    valid, as under a unique index: a refused row takes no url. First rows are found by a
+    partial aggregate and joined by url and position, so no url gathers in one task.
     """
     position = F.struct(*[F.col(c) for c in (order or ["id"])])
+    complete = F.col("source").isNotNull() & F.col("title").isNotNull()
     firsts = (
-        df.where(F.col("url").isNotNull())
-        .groupBy(F.col("url").alias("_key"))
-        .agg(F.min(position).alias("_first"), F.count("*").alias("_copies"))
-        .where("_copies > 1")
-    )
-    spread = F.concat(F.lit("\0"), F.xxhash64(position).cast("string"))
-    keyed = df.withColumn("_key", F.coalesce(F.col("url"), spread))
-    return (
-        keyed.join(firsts, "_key", "left")
-        .withColumn(
-            "violation",
-            F.when(F.col("source").isNull(), "missing_source")
-            .when(F.col("title").isNull(), "missing_title")
-            .when(position > F.col("_first"), "duplicate_url"),
-        )
-        .drop("_key", "_first", "_copies")
+        df.where(complete & F.col("url").isNotNull())
+        .groupBy(F.col("url").alias("_url"))
+        .agg(F.min(position).alias("_position"))
+        .withColumn("_first", F.lit(True))
     )
+    placed = df.withColumn("_at", position)
+    joined = placed.join(firsts, (placed["_at"] == firsts["_position"]) & (placed["url"] == firsts["_url"]), "left")
+    return joined.withColumn(
+        "violation",
+        F.when(F.col("source").isNull(), "missing_source")
+        .when(F.col("title").isNull(), "missing_title")
+        .when(F.col("url").isNotNull() & F.col("_first").isNull(), "duplicate_url"),
+    ).drop("_at", "_url", "_position", "_first")
 
 
 def split_invalid(df: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
