@@ -76,3 +76,16 @@ def test_first_card_of_a_url_decides_on_its_page(spark):
 def test_references(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(m.unescape(F.col("t"))).first()[0]
     assert got == want == html.unescape(text)
+
+
+def test_links_in_all_spellings(spark):
+    page = """<a href=/empleos/1>x</a><A title="a > b" HREF='/empleos/2'>y</A><a title="href='/empleos/9'" href = "/empleos/3?a&amp;b">
+    <a class=c href=/empleos/4/>z</a><a name=none>t</a><abbr href=/empleos/5>""" + "<a " + "x " * 50_000 + "href=/empleos/6>"
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    got = [r.url for r in extract.extract_links(pages, "/empleos/", [], "https://s.example").orderBy("pos").collect()]
+    assert got == [f"https://s.example/empleos/{x}" for x in ("1", "2", "3?a&b", "4/", "6")]
+
+
+def test_bare_class(spark):
+    df = spark.createDataFrame([("<p class=other>n</p><p id=x class=wanted>y</p>",)], "html string")
+    assert df.select(m.joined_text(m.inner(m.from_first(F.col("html"), m.opening("p", ["wanted"]))), "")).first()[0] == "y"

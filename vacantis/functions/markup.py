@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from vacantis.functions.text import let, literal_map, trim_spaces
 
 ANY_TAG = r"[a-zA-Z][a-zA-Z0-9-]*"
-TAGS = r"(?s)</?[a-zA-Z][^>]*>|<![^>]*>"
+# the rest of a tag: a quoted value may hold ">"; possessive, so that long tags need no stack
+REST_OF_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+# one attribute of a tag: quoted, bare or without value
+ATTRIBUTE = r"""[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?"""
+TAGS = rf"(?s)</?[a-zA-Z]{REST_OF_TAG}|</?[a-zA-Z][^>]*>|<![^>]*>"
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
@@ -25,8 +29,10 @@ def without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, hidden, "")
 
 
-def _attribute(name: str, value: str) -> str:
-    return rf"(?=[^>]*\s(?i:{name})\s*=\s*(?:\"{value}\"|'{value}'))"
+def _attribute(name: str, part: str) -> str:
+    """An attribute whose value holds ``part``."""
+    quoted, bare = rf"[^\"']*{part}[^\"']*", rf"[^\s\"'>]*{part}[^\s\"'>]*"
+    return rf"(?=[^>]*\s(?i:{name})\s*=\s*(?:\"{quoted}\"|'{quoted}'|{bare}(?=[\s>])))"
 
 
 def opening(tag: str = ANY_TAG, classes: list[str] | None = None, **attributes: str | None) -> str:
@@ -35,7 +41,7 @@ def opening(tag: str = ANY_TAG, classes: list[str] | None = None, **attributes:
     ``classes`` are pattern fragments the class attribute must hold; an attribute must
     equal its value, or only be present when the value is None.
     """
-    tests = [_attribute("class", rf"[^\"']*{part}[^\"']*") for part in classes or []]
+    tests = [_attribute("class", part) for part in classes or []]
     for name, value in attributes.items():
         name = name.replace("_", "-")
         if value is None:
@@ -53,10 +59,13 @@ def from_first(html: Column, pattern: str) -> Column:
 
 def attribute_of(element: Column, name: str) -> Column:
     """Attribute of the tag a text starts with; NULL when it has none."""
-    found = rf"(?i)^<[^>]*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    tag = F.regexp_extract(element, f"(?s)^<{REST_OF_TAG}", 0)
+    held = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+    named = F.filter(held, lambda a: a.rlike(rf"(?is)^{name}\s*=") )
+    value = r"""(?s)=\s*(?:"([^"]*)"|'([^']*)'|(.*))"""
     return F.when(
-        element.rlike(found),
-        unescape(F.concat(F.regexp_extract(element, found, 1), F.regexp_extract(element, found, 2))),
+        F.size(named) > 0,
+        let(F.get(named, 0), lambda a: unescape(F.concat(*[F.regexp_extract(a, value, group) for group in (1, 2, 3)]))),
     )
 
 
