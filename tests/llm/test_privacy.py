@@ -67,7 +67,7 @@ def told(spark):
 
 def test_disclosure(spark):
     docs = told(spark)
-    found = privacy.find_entities(docs)
+    found = privacy.find_entities(docs, "doc_id")
     got = {(r.kind, r.term): r.disclosure for r in privacy.disclosing_terms(docs, found).collect()}
     n_words = sum(len(privacy.WORD.findall(r.text or "")) for r in docs.collect())
     p = 30 * 4 / n_words

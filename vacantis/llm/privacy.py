@@ -117,9 +117,9 @@ def rendered(spans: list[Span]) -> str:
 FOUND = "row_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, n_terms long, near array<struct<kind:string,term:string,start:long,end:long>>"
 
 
-def find_entities(docs: DataFrame) -> DataFrame:
-    """Step 1: ``found`` for every row, beside its other columns. Stored once."""
-    schema = docs.withColumn("found", F.from_json(F.lit("{}"), FOUND)).schema
+def find_entities(docs: DataFrame, *kept: str) -> DataFrame:
+    """Step 1: ``found`` for every row, beside the ``kept`` columns. Stored once."""
+    schema = docs.select(*kept, F.from_json(F.lit("{}"), FOUND).alias("found")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -140,7 +140,7 @@ def find_entities(docs: DataFrame) -> DataFrame:
                 )
                 row += 1
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, kind_of_found)], names=[*batch.schema.names, "found"]
+                [*(batch[c] for c in kept), pa.array(out, kind_of_found)], names=[*kept, "found"]
             )
 
     return stored(in_arrow(docs, run, schema), "entities")
@@ -188,7 +188,7 @@ def term_spans(texts: DataFrame, found: DataFrame) -> DataFrame:
 def annotate(docs: DataFrame) -> DataFrame:
     """Counts and spans of every whole text: entities by kind, then terms, as ``kind:start:end``."""
     texts = texts_of(docs)
-    found = find_entities(texts).select("doc_id", "found")
+    found = find_entities(texts, "doc_id")
     terms = term_spans(texts, found)
     shown = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
     spans = F.array_compact(F.concat(F.array(F.nullif("found.base", F.lit(""))), F.coalesce(shown, F.array().cast("array<string>"))))
@@ -222,7 +222,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     others = [c for c in columns if c != "text"]
     kept = docs.select(F.struct(F.lit(True).alias("kept"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row"), "text")
-    found = find_entities(kept)
+    found = find_entities(kept, "row", "text")
     terms = term_spans(texts_of(docs, F.lit(0).alias("one")), found)
     hit = F.col("found.base") != ""
     restored = ["text" if c == "text" else F.col("row")[f"c{others.index(c)}"].alias(c) for c in columns]
