@@ -13,7 +13,7 @@ from vacantis.llm.batches import worker_table
 
 WORD = re.compile(r"[^\W_]+")
 SIZE = 5  # words of a shingle
-KEPT = 1 << 18  # words of a worker's table
+KEPT = 1 << 16  # words of a worker's table
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -45,7 +45,7 @@ FOR_THRESHOLDS = 4  # one in so many labelled documents calibrates thresholds
 LEAST_TOXIC = 15  # calibration documents that a language needs for a threshold of its own
 THRESHOLD = 0.3
 STRETCH = 1 << 17  # words at a time
-KEPT = 1 << 18  # words of a worker's table
+KEPT = 1 << 16  # words of a worker's table
 
 
 class Words(dict):
