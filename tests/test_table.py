@@ -189,3 +189,7 @@ def test_page_fetched_twice_gives_one_posting(spark, sf_dir):
     blank = micro.withColumn("html", F.regexp_replace("html", "(?s)<h1.*?</h1>", "")).union(micro.withColumn("page_id", F.col("page_id") + 1_000_000))
     found = {r.url for r in extract.build_raw_postings(listing, details, blank, stamp).select("url").collect()}
     assert found == set(urls)
+
+
+def test_merge_dedups_the_batch_once(stored, arrived):
+    assert "Window" not in plan_of(upsert.upsert_fill_missing(stored, arrived))
