@@ -82,6 +82,17 @@ def test_sanitised_text(spark):
     assert got[100] == "the half " + " ".join(f"w{j}" for j in range(40)) and got[None] is None
 
 
+def test_rare_terms_disclose_at_every_size(spark):
+    once = [(1, "write to zorblax a@b.co or wait"), (2, "write or wait to " + " ".join(f"w{j}" for j in range(60)))]
+    found = []
+    for times in (1, 4):
+        docs = spark.createDataFrame(once * times, "doc_id long, text string")
+        terms = privacy.disclosing_terms(docs, privacy.find_entities(docs, "doc_id")).collect()
+        found.append({(r.kind, r.term): round(r.disclosure, 9) for r in terms})
+    assert found[0] == found[1] and found[0]["email", "zorblax"] == 1.0
+    assert "[removed]" in next(r.text for r in privacy.sanitise(docs).collect() if r.doc_id == 1)
+
+
 def test_rewriting():
     text = "Call Anna on +1 377 555 0271 or a@b.co now"
     terms = [{"start": 5, "end": 9, "disclosure": 0.85}, {"start": 39, "end": 42, "disclosure": 1.0}]

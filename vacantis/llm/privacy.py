@@ -12,9 +12,10 @@ of it, 1 for words that occur nowhere else. In texts with entities, terms near t
 REMOVE_AT on and generalised to their shape from GENERALISE_AT on. Texts without entities stay as
 they are.
 
-Counting takes three steps: (1) one pass finds entities and the words near them; (2) only words that
-stand near entities at least MIN_NEAR times are counted in the whole corpus; (3) what they disclose is
-joined back to the places found in (1). Counts are exact and cover all documents.
+Counting takes three steps: (1) one pass finds entities and the words near them; (2) every word that
+stands near an entity, however rarely, is counted in the whole corpus; (3) what they disclose is
+joined back to the places found in (1). Counts are exact and cover all documents. No count is a floor, so a
+corpus and its copies have the same terms; a word that occurs only once, and there near an entity, goes.
 
 Defined cases: a null text counts as empty, and stays null when sanitised. A row number taken when (1)
 is stored tells rows with equal or null ``doc_id`` apart. Columns of other names pass through
@@ -39,7 +40,6 @@ from vacantis.llm.batches import in_arrow, per_batch, small, texts_of
 from vacantis.session import stored
 
 WINDOW = 4
-MIN_NEAR = 20
 GENERALISE_AT, REMOVE_AT = 0.8, 0.9
 # Up to so many rows (about 30 bytes each) a list of terms is broadcast, beyond it is joined by shuffle.
 BROADCAST_TERMS = 500_000
@@ -160,15 +160,15 @@ def _joined(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner")
 def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(kind, term, disclosure) of the terms that disclose a kind; counted over all ``texts``."""
     near = stored(near_places(found).groupBy("kind", "term").agg(F.count("*").alias("n_near")), "near")
-    frequent = near.filter(F.col("n_near") >= MIN_NEAR)
-    terms = stored(frequent.select("term").distinct(), "terms")
+    terms = stored(near.select("term").distinct(), "terms")
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_JVM), F.lit(0))).alias("term"))
-    counts = stored(_joined(words, terms, ["term"], "left_semi").groupBy("term").agg(F.count("*").alias("n")), "term-counts")
+    # counted before the join: the list of terms may be too long to broadcast
+    counts = stored(_joined(words.groupBy("term").agg(F.count("*").alias("n")), terms, ["term"], "left_semi"), "term-counts")
     n_words = texts.select(F.regexp_count(F.col("text"), F.lit(WORD_JVM)).cast("long").alias("n")).agg(F.sum("n").alias("words"))
     share = near.groupBy("kind").agg((F.sum("n_near") / n_words.scalar()).alias("p"))
     given_term = F.least(F.col("n_near") / F.col("n"), F.lit(1.0))
     return (
-        frequent.join(counts, "term")
+        near.join(counts, "term")
         .join(F.broadcast(share), "kind")  # one row per kind
         .select("kind", "term", (F.log(given_term / F.col("p")) / -F.log("p")).alias("disclosure"))
         .filter(F.col("disclosure") >= GENERALISE_AT)
