@@ -74,6 +74,19 @@ def test_group_of_near_copies_in_blocks(spark, monkeypatch, block):
     assert got(spark, rows, recall=0.999999) == brute(rows)
 
 
+def test_links_count_texts(spark):
+    """Texts that differ in case or punctuation have one set, and are still different texts."""
+    near = [f"w{i}" for i in range(60)]
+    texts = [" ".join(near), " ".join(near).upper(), ", ".join(near), " ".join([*near[:-1], "other"]), "short text", "Short, text!", "alone here"]
+    rows = [*enumerate(texts), (7, texts[0]), (8, None), (9, "...")]  # an equal text, and texts without words
+    want = {}
+    for d, t in rows:
+        a = shingle_set(t)
+        want[d] = sum(len(a & shingle_set(u)) >= 0.8 * len(a | shingle_set(u)) for u in {u for _, u in rows} - {t} if shingle_set(u)) if a else 0
+    assert want == {0: 3, 1: 3, 2: 3, 3: 3, 4: 1, 5: 1, 6: 0, 7: 3, 8: 0, 9: 0}
+    assert {d: n for d, (_, n) in got(spark, rows).items()} == want
+
+
 def test_odd_rows(spark, odd, none):
     found = jaccard.join(odd).collect()
     assert len(found) == odd.count()

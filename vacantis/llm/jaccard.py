@@ -5,8 +5,8 @@
    paired with each other.
 2. Nodes are shuffled on their band hashes. Bands with the same members count once.
 3. Members of a band meet in tasks of at most two blocks; a band with more members is split in blocks,
-   and each pair of blocks is a task. A task compares whole sets and returns a row per member: its number
-   of links, and a member that it is connected to. Pairs are not written out. A pair that shares
+   and each pair of blocks is a task. A task compares whole sets and returns a row per member: how many
+   texts its links lead to, and a member that it is connected to. Pairs are not written out. A pair that shares
    several bands counts in the first.
 4. Connected components of these links are the classes.
 
@@ -15,7 +15,7 @@ Sets travel only for nodes that share a band: their texts are read again and fou
 Defined cases: words are runs of letters and digits, in lower case; a text with fewer than five is one
 shingle; one without any (null, empty) has no partner and is its own class. Rows with null or equal ids are
 rows like others; a class is named by its smallest id, null if all are null. Equal texts link to the same
-partners. An empty table gives no rows. Other columns are not read by ``join``, and kept by ``keep_one``.
+partners, and count once as a partner; different texts with equal sets are partners of each other. An empty table gives no rows. Other columns are not read by ``join``, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -76,6 +76,12 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def texts_by_node(sketched: DataFrame) -> DataFrame:
+    """(hi, lo, texts): how many different texts have this set, of nodes with more than one; stored."""
+    texts = sketched.filter("hi is not null").select("hi", "lo", "text_key").distinct()
+    return stored(texts.groupBy("hi", "lo").agg(F.count("*").alias("texts")).filter("texts > 1"), "texts-by-node")
+
+
 def sets_of(docs: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
     """(hi, lo, own): the shingles of each node, from one of its texts."""
     first = sketched.join(few(nodes), ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(
@@ -153,7 +159,8 @@ def compare(key: tuple, members: pa.Table, similarity: float) -> pa.Table:
         linked &= block[:, None] != block[None, :]
     if linked.any():
         linked &= ~earlier_band([np.asarray(x, "i8") for x in members["kept_bands"].to_numpy()], band)
-    n, root = linked.sum(1), local_roots(linked)
+    texts = members["texts"].to_numpy() if "texts" in members.column_names else np.ones(len(sets), "i8")
+    n, root = linked @ texts, local_roots(linked)
     has = np.flatnonzero(n)
     hi, lo = members["hi"].combine_chunks(), members["lo"].combine_chunks()
     take = lambda c, i: c.take(pa.array(i))
@@ -163,11 +170,11 @@ def compare(key: tuple, members: pa.Table, similarity: float) -> pa.Table:
     })
 
 
-def links(docs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """(node, n, to): for each task and member with links there, their number and a connected member."""
+def links(docs: DataFrame, sketched: DataFrame, several: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, to): for each task and member with links there, the texts they lead to and a connected member."""
     shared = shared_bands(sketched)
     nodes = shared.groupBy("hi", "lo").agg(F.collect_list("band").alias("kept_bands"))  # at most one per band
-    nodes = stored(nodes, "nodes")
+    nodes = stored(nodes.join(few(several), ["hi", "lo"], "left").fillna(1, ["texts"]), "nodes")
     sets = sets_of(docs, sketched, nodes.select("hi", "lo")).join(nodes, ["hi", "lo"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("lo", "hi"), F.col("blocks")).cast("int")
@@ -193,7 +200,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
 
 def classes(docs: DataFrame, similarity: float, recall: float, most_hashes: int) -> DataFrame:
     sketched = sketch(docs, *shingles.choose_bands(similarity, recall, most_hashes))
-    found = links(docs, sketched, similarity)
+    several = texts_by_node(sketched)
+    found = links(docs, sketched, several, similarity)
+    own = several.select(node(), (F.col("texts") - 1).alias("others"))
     counts = found.groupBy("node").agg(F.sum("n").alias("n_links"))
     labels = components(found.filter("node != to").select(F.col("node").alias("a"), F.col("to").alias("b")))
     nodes = sketched.filter("hi is not null").groupBy(node()).agg(F.min("doc_id").alias("least"))
@@ -202,8 +211,8 @@ def classes(docs: DataFrame, similarity: float, recall: float, most_hashes: int)
     # linked nodes by their component, the others by themselves; stored, so that a join with a node of
     # many copies stands alone and Spark can split it
     of_node = stored(
-        nodes.join(labels, "node", "left").join(named, "label", "left").join(counts, "node", "left")
-        .select("node", F.coalesce("label", "node").alias("class_node"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        nodes.join(labels, "node", "left").join(named, "label", "left").join(counts, "node", "left").join(few(own), "node", "left")
+        .select("node", F.coalesce("label", "node").alias("class_node"), F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.coalesce("others", F.lit(0))).alias("n_links")),
         "node-classes",
     )
     return sketched.select("doc_id", "text_key", F.when(F.col("hi").isNotNull(), F.struct("hi", "lo")).alias("node")).join(
