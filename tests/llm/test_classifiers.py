@@ -56,6 +56,22 @@ def test_sample_is_bounded_and_fixed(spark, documents):
     assert first == again and sorted(y for _, y in first) == [0] * 20 + [1] * 20
 
 
+def test_thresholds_do_not_depend_on_the_cap(spark):
+    """The cap takes most toxic and few clean documents; thresholds are for the mix of all of them."""
+    draw = np.random.default_rng(3)
+    steps = np.round(np.concatenate([draw.normal(-100, 100, 20_000), draw.normal(150, 100, 1_000)])).astype("i8")
+    toxic = np.arange(len(steps)) >= 20_000
+    at = lambda keep, taken: toxicity.thresholds_of(np.stack([0 * steps, steps, toxic, ~toxic], 1)[keep].astype("i8"), taken)[0]
+    whole, some = at(steps == steps, np.array([0, 0])), at(~toxic | (draw.random(len(steps)) < 0.25), np.array([0, 750]))
+    even = at(toxic | (draw.random(len(steps)) < 0.05), np.array([0, 0]))
+    assert abs(whole - some) < 0.4 and whole - even > 0.5
+    docs = spark.createDataFrame([(i, "foul word here" if i % 10 == 0 else "plain word here") for i in range(400)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("label"))
+    net = toxicity.fit(docs, labels, F.lit(True), "label", 20).network
+    counts = toxicity.counted(docs, labels, net, list(range(30)))
+    assert counts[:, 2].sum() == 37 and counts[:, 3].sum() == 333
+
+
 def test_long_texts_count_whole():
     draw = np.random.default_rng(0)
     texts = [draw.integers(0, 1 << 18, (50, 2)) for _ in range(40)]

@@ -14,23 +14,33 @@ def part_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``per_class`` documents of each class, in a fixed pseudo-random order.
-
-    ``allowed`` is a condition on ``doc_id``. A document with contradicting labels counts as the higher;
-    of rows that share a ``doc_id`` one is taken. Null texts, ids and labels are passed over.
-    """
-    known = (
+def known(labels: DataFrame, label: str, allowed: Column) -> DataFrame:
+    """(doc_id, label) of the ``allowed`` labelled ids; contradicting labels count as the higher."""
+    return (
         labels.select("doc_id", F.col(label).alias("label"))
         .filter(F.col("label").isin(0, 1) & allowed)
         .groupBy("doc_id").agg(F.max("label").alias("label"))
     )
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int) -> list[tuple[int, str, int]]:
+    """(doc_id, text, label) of at most ``per_class`` documents of each class, in a fixed pseudo-random order.
+
+    ``allowed`` is a condition on ``doc_id``. A document with contradicting labels counts as the higher;
+    of rows that share a ``doc_id`` one is taken. Null texts, ids and labels are passed over.
+    """
     order = F.xxhash64("doc_id")
-    first = [known.filter(F.col("label") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
+    of_class = known(labels, label, allowed)
+    first = [of_class.filter(F.col("label") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     picked = F.broadcast(first[0].union(first[1]))  # at most 2 x per_class rows
     texts = docs.select("doc_id", "text").filter(F.length("text") <= MOST_CHARS)
     rows = texts.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    return [(r["text"], r["label"]) for r in rows.orderBy(order, "doc_id").collect()]
+    return [(r["doc_id"], r["text"], r["label"]) for r in rows.orderBy(order, "doc_id").collect()]
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int) -> list[tuple[str, int]]:
+    """(text, label) of ``sample_rows``."""
+    return [(t, y) for _, t, y in sample_rows(docs, labels, label, allowed, per_class)]
 
 
 def shares(labels: DataFrame, label: str, allowed: Column) -> float:

@@ -5,8 +5,9 @@ that other forms of a word are known too and unrelated words rarely share both.
 training documents use hold zeros: such words say nothing. Filters of widths 1 to 3 run over
 the words; their largest outputs in a text, over the whole of it, feed a logistic output.
 
-A threshold is calibrated for each language on labelled documents that training has not seen, and the
-output is shifted so that every language's threshold becomes THRESHOLD. The language is guessed from
+A threshold is calibrated for each language on all allowed labelled documents that training has not seen,
+counted in Spark by steps of the output; each class is weighed to its number among all of them, so that the cap
+on the sample does not change the mix. The output is shifted so that every language's threshold becomes THRESHOLD. The language is guessed from
 the text's own function words; labels, ``lang``, ``source`` and ``doc_id`` are no inputs.
 
 Defined cases: a null or empty text, or one without words, has the outputs of zeros. Without labels
@@ -23,9 +24,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from vacantis.llm.batches import in_arrow, per_batch, small, texts_of, worker_table
-from vacantis.llm.labelled import sample
+from vacantis.llm.labelled import known, sample_rows
 
 WORD = re.compile(r"[^\W_]+")
 # Function words by which a text's language is guessed.
@@ -41,9 +43,12 @@ WIDTHS, FILTERS, DIMENSIONS, BUCKET_BITS, FIRST = (1, 2, 3), 8, 8, 18, 4
 LEAST_DOCS = 3  # training documents that must use a bucket
 PER_CLASS, EPOCHS, BATCH, RATE, DECAY = 3000, 6, 32, 0.05, 1e-4
 LEAST_SEEN, MOST_EPOCHS = 8000, 40  # small samples are gone through more often
-FOR_THRESHOLDS = 4  # one in so many labelled documents calibrates thresholds
+FOR_THRESHOLDS = 4  # one in so many documents of the sample is kept from training
 LEAST_TOXIC = 15  # calibration documents that a language needs for a threshold of its own
 THRESHOLD = 0.3
+STEP, MOST_LOGIT = 0.01, 30.0  # outputs are counted by steps between +-MOST_LOGIT
+# Up to so many labels (16 bytes each) are broadcast, beyond they are joined by shuffle.
+BROADCAST_LABELS = 2_000_000
 STRETCH = 1 << 17  # words at a time
 KEPT = 1 << 16  # words of a worker's table
 
@@ -198,33 +203,56 @@ class Model(NamedTuple):
     thresholds: np.ndarray  # logits by language
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the best F1, in the middle of the gap below it."""
-    order = np.argsort(-z, kind="stable")
-    z, y = z[order], y[order]
-    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][z[:-1] == z[1:]] = 0
-    k = int(f1.argmax())
-    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k])
+def best_threshold(steps: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The logit with the best F1, in the middle of the gap below it; from weights by step."""
+    steps, inverse = np.unique(steps, return_inverse=True)
+    toxic, clean = (np.bincount(inverse, w)[::-1] for w in (toxic, clean))
+    steps = steps[::-1]
+    k = int((2 * np.cumsum(toxic) / (np.cumsum(toxic + clean) + toxic.sum())).argmax())
+    return float((steps[k] + steps[k + 1] + 1) / 2 * STEP) if k + 1 < len(steps) else float(steps[k] * STEP)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """A model from labelled documents whose ``doc_id`` is ``allowed``."""
-    rows = sample(docs, labels, label, allowed, per_class)
-    read = [buckets(t) for t, _ in rows]
-    y = np.array([c for _, c in rows], "f4")
-    late = np.arange(len(rows)) % FOR_THRESHOLDS == 0
-    net = train([b for (b, _), x in zip(read, late, strict=True) if not x], y[~late])
-    thresholds = np.zeros(len(LANGUAGES))
-    if len(set(y[late].tolist())) == 2:
-        z = logits(net, [b for (b, _), x in zip(read, late, strict=True) if x])
-        language = np.array([k for (_, k), x in zip(read, late, strict=True) if x])
-        thresholds[:] = best_threshold(z, y[late])
+def counted(docs: DataFrame, labels: DataFrame, net: Network, trained: list[int]) -> np.ndarray:
+    """(language, step, toxic, clean) counts of all labelled documents but the ``trained`` ones, whole texts."""
+    one = docs.sparkSession.createDataFrame([(i,) for i in trained], labels.select("doc_id").schema)
+    unseen = labels.join(F.broadcast(one), "doc_id", "left_anti")  # at most 2 x PER_CLASS ids
+    unseen = F.broadcast(unseen) if labels.count() <= BROADCAST_LABELS else unseen
+    texts = texts_of(docs).join(unseen, "doc_id").select("label", "text")
+
+    def work(batch: pa.RecordBatch) -> dict:
+        read = [buckets(t) for t in batch["text"].to_pylist()]
+        z = np.clip(logits(net, [b for b, _ in read]), -MOST_LOGIT, MOST_LOGIT)
+        return {"language": [k for _, k in read], "step": np.floor(z / STEP).astype("i8"), "label": batch["label"]}
+
+    found = per_batch(texts, work, "language int, step long, label int").groupBy("language", "step").agg(
+        F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
+    )
+    return np.array([tuple(r) for r in found.orderBy("language", "step").collect()], "i8").reshape(-1, 4)
+
+
+def thresholds_of(counts: np.ndarray, trained: np.ndarray) -> np.ndarray:
+    """By language, from counts of unseen documents; ``trained``: how many clean and toxic ones training took."""
+    found = np.zeros(len(LANGUAGES))
+    language, steps, toxic, clean = counts.T
+    if toxic.sum() and clean.sum():
+        weights = [n * (1 + taken / n.sum()) for n, taken in ((toxic, trained[1]), (clean, trained[0]))]
+        found[:] = best_threshold(steps, *weights)
         for k in range(len(LANGUAGES)):
             own = language == k
-            if y[late][own].sum() >= LEAST_TOXIC and (1 - y[late][own]).sum() >= LEAST_TOXIC:
-                thresholds[k] = best_threshold(z[own], y[late][own])
-    return Model(net, thresholds)
+            if toxic[own].sum() >= LEAST_TOXIC and clean[own].sum() >= LEAST_TOXIC:
+                found[k] = best_threshold(steps[own], *(w[own] for w in weights))
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
+    """A model from labelled documents whose ``doc_id`` is ``allowed``."""
+    rows = sample_rows(docs, labels, label, allowed, per_class)
+    early = [r for i, r in enumerate(rows) if i % FOR_THRESHOLDS]
+    y = np.array([c for *_, c in early], "f4")
+    net = train([buckets(t)[0] for _, t, _ in early], y)
+    of_class = known(labels, label, allowed).filter("doc_id is not null")
+    counts = counted(docs, of_class, net, [i for i, *_ in early])
+    return Model(net, thresholds_of(counts, np.bincount(y.astype("i8"), minlength=2)))
 
 
 def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, list[str]]:
