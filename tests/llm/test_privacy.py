@@ -93,6 +93,14 @@ def test_rare_terms_disclose_at_every_size(spark):
     assert "[removed]" in next(r.text for r in privacy.sanitise(docs).collect() if r.doc_id == 1)
 
 
+def test_terms_go_wherever_they_stand_in_a_text_with_entities(spark):
+    fill = " ".join(f"w{j}" for j in range(20))
+    rows = [(i, f"zorblax a@b.co {fill}") for i in range(9)]
+    rows += [(9, f"zorblax a@b.co {fill} Zorblax"), (10, f"x 1.2.3.4 {fill} zorblax"), (11, f"{fill} zorblax")]
+    got = {r.doc_id: r.text for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "orblax" not in got[9] + got[10] and got[11] == rows[11][1]
+
+
 def test_rewriting():
     text = "Call Anna on +1 377 555 0271 or a@b.co now"
     terms = [{"start": 5, "end": 9, "disclosure": 0.85}, {"start": 39, "end": 42, "disclosure": 1.0}]

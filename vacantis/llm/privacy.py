@@ -8,13 +8,14 @@ near to that kind, and p(near | term) the term's own share, the disclosure of a
     log(p(near | term) / p) / -log p,
 
 the part of the information "an entity is near" that the term gives: 0 for words that are independent
-of it, 1 for words that occur nowhere else. In texts with entities, terms near them are removed from
-REMOVE_AT on and generalised to their shape from GENERALISE_AT on. Texts without entities stay as
+of it, 1 for words that occur nowhere else. In texts with entities of any kind, every occurrence of a
+term, near them or not, is removed from REMOVE_AT on and generalised to its shape from GENERALISE_AT on; a
+term that discloses several kinds counts by the highest. Texts without entities stay as
 they are.
 
 Counting takes three steps: (1) one pass finds entities and the words near them; (2) every word that
 stands near an entity, however rarely, is counted in the whole corpus; (3) what they disclose is
-joined back to the places found in (1). Counts are exact and cover all documents. No count is a floor, so a
+joined to all word places of the texts with entities, which (1) has stored. Counts are exact and cover all documents. No count is a floor, so a
 corpus and its copies have the same terms; a word that occurs only once, and there near an entity, goes.
 
 Defined cases: a null text counts as empty, and stays null when sanitised. A row number taken when (1)
@@ -93,8 +94,8 @@ def _short(digits: str) -> str:
     return digits.lstrip("0") or "0"
 
 
-def nearby(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
-    """(kind, term, start, end) of the words within WINDOW words of a span and outside all spans."""
+def outside(text: str, spans: list[Span]) -> list[re.Match]:
+    """The words outside all spans."""
     covered = sorted((a, b) for _, a, b in spans)
     words, at = [], 0
     for m in WORD.finditer(text):
@@ -102,6 +103,12 @@ def nearby(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
             at += 1
         if at == len(covered) or m.end() <= covered[at][0]:
             words.append(m)
+    return words
+
+
+def nearby(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
+    """(kind, term, start, end) of the words within WINDOW words of a span and outside all spans."""
+    words = outside(text, spans)
     starts = [m.start() for m in words]
     found = set()
     for kind, a, b in spans:
@@ -114,7 +121,7 @@ def rendered(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
 
 
-FOUND = "row_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, n_terms long, near array<struct<kind:string,term:string,start:long,end:long>>"
+FOUND = "row_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, n_terms long, hit_text string, near array<struct<kind:string,term:string,start:long,end:long>>"
 
 
 def find_entities(docs: DataFrame, *kept: str) -> DataFrame:
@@ -134,7 +141,7 @@ def find_entities(docs: DataFrame, *kept: str) -> DataFrame:
                 near = nearby(text, spans) if spans else []
                 kinds = [k for k, *_ in spans]
                 out.append(
-                    {"row_id": row, "base": base, "base_sha256": hashlib.sha256(base.encode()).hexdigest(), "n_terms": len(near)}
+                    {"row_id": row, "base": base, "base_sha256": hashlib.sha256(base.encode()).hexdigest(), "n_terms": len(near), "hit_text": text if spans else None}
                     | {f"n_{k}": kinds.count(k) for k in KINDS}
                     | {"near": [dict(zip(("kind", "term", "start", "end"), x, strict=True)) for x in near]}
                 )
@@ -175,11 +182,26 @@ def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def spans_of(base: str) -> list[Span]:
+    return [(kind, int(a), int(b)) for kind, a, b in (x.split(":") for x in base.split(",") if x)]
+
+
+def word_places(found: DataFrame) -> DataFrame:
+    """(row_id, term, start, end) for each word outside the entities, of the texts that hold one."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        rows = zip(*(batch[c].to_pylist() for c in ("row_id", "text", "base")), strict=True)
+        words = [(i, m[0].lower(), *m.span()) for i, text, base in rows for m in outside(text, spans_of(base))]
+        return {c: [w[k] for w in words] for k, c in enumerate(("row_id", "term", "start", "end"))}
+
+    hit = found.filter(F.col("found.hit_text").isNotNull()).select("found.row_id", F.col("found.hit_text").alias("text"), "found.base")
+    return per_batch(hit, work, "row_id long, term string, start long, end long")
+
+
 def term_spans(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(row_id, terms): the disclosing terms of a row, with place and disclosure."""
-    terms = stored(disclosing_terms(texts, found), "disclosing")
-    places = _joined(near_places(found), terms, ["kind", "term"])
-    best = places.groupBy("row_id", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    """(row_id, terms): all occurrences of disclosing terms in a row with entities, with place and disclosure."""
+    terms = disclosing_terms(texts, found).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    best = _joined(word_places(found), stored(terms, "disclosing"), ["term"])
     return best.groupBy("row_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")
     )
