@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans import plan_of
 from vacantis import schema
 from vacantis.operators import counts, derive, extract, search, upsert
 from vacantis.plans import forecast, overview
