@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vacantis.llm import compression, decontaminate, jaccard, licences, packing, privacy, quality_rules, token_files, toxicity, url_rules
+from vacantis.llm import (
+    compression, conversations, decontaminate, jaccard, language, licences, packing, periodic, privacy, quality_rules, token_files,
+    toxicity, url_rules,
+)
 from vacantis.llm.labelled import judged, part_of
 from vacantis.session import fresh_folder
 
@@ -67,10 +70,26 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return url_rules.judge(given(spark, d, "pages"), labels)
 
 
+def op11_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    given_rows = given(spark, d, "conversations")
+    return conversations.audit(conversations.damaged(given_rows), given_rows)
+
+
+def op12_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs, part = given(spark, d, "documents"), part_of(F.col("doc_id"), 5)
+    return language.identify(docs, language.fit(docs, part != 0)).select(
+        "doc_id", F.coalesce(part_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.made_periodic(given(spark, d, "documents"))))
+
+
 def queries() -> dict:
     found = (
-        op1_quality_rules, op2_best_fit_packing, op3_toxicity, op4_license_scans, op5_ngram_jaccard_join, op6_decontamination, op7_pii, op8_compression_classifier, op9_token_files,
-        op10_url_filters,
+        op1_quality_rules, op2_best_fit_packing, op3_toxicity, op4_license_scans, op5_ngram_jaccard_join, op6_decontamination, op7_pii,
+        op8_compression_classifier, op9_token_files, op10_url_filters, op11_conversation_repair, op12_language_id, op13_periodic_runs,
     )
     return {q.__name__: q for q in found} | {"pipeline": corpus_pipeline.run}
 
