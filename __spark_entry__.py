@@ -107,10 +107,10 @@ def s5_append_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 def s6_write_snapshot(spark: SparkSession, d: str) -> DataFrame:
     root = fresh_folder(spark, "snapshot")
-    tables.write_snapshot(b.jobs(spark, d), root, 0)
+    tables.write_snapshot(b.jobs(spark, d), root)
     merged = upsert.upsert_fill_missing(tables.read_snapshot(spark, root), _arrived(spark, d), _ingest_ts())
-    tables.write_snapshot(merged.drop("change"), root, 1)
-    return _shown(tables.read_snapshot(spark, root))
+    version = tables.write_snapshot(merged.drop("change"), root)
+    return _shown(tables.read_snapshot(spark, root, version))
 
 
 # --- streams -----------------------------------------------------------------
@@ -122,7 +122,7 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def t1_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
     root = fresh_folder(spark, "ingest")
-    tables.write_snapshot(b.jobs(spark, d), root, 0)
+    tables.write_snapshot(b.jobs(spark, d), root)
     ingest.ingest_stream(
         b.incoming_of(_stream(spark, d, "lineitem")), root, fresh_folder(spark, "ingest-state"), _ingest_ts()
     )
@@ -151,10 +151,18 @@ def t3_stream_progress(spark: SparkSession, d: str) -> DataFrame:
 
 def t4_ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
     watched, seen = ingest.observed_ingest(_merged(spark, d))
-    tables.write_snapshot(watched.drop("change"), fresh_folder(spark, "observed"), 0)
+    tables.write_snapshot(watched.drop("change"), fresh_folder(spark, "observed"))
     return spark.createDataFrame([seen.get], "processed long, saved long, inserted long")
 
 
+def t4_stream_ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
+    root = fresh_folder(spark, "counted")
+    tables.write_snapshot(b.jobs(spark, d), root)
+    ingest.ingest_stream(b.incoming_of(_stream(spark, d, "lineitem")), root, fresh_folder(spark, "counted-state"), _ingest_ts())
+    totals = ingest.ingest_totals(spark, root)
+    return spark.createDataFrame([tuple(totals[c] for c in ingest.COUNTERS)], "processed long, saved long, inserted long")
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator of the inventory."""
     q: dict[str, Query] = {}
@@ -362,6 +370,7 @@ def queries() -> dict[str, Query]:
     q["t2_stream_dedup_by_url"] = t2_stream_dedup_by_url
     q["t3_stream_progress"] = t3_stream_progress
     q["t4_ingest_metrics"] = t4_ingest_metrics
+    q["t4_stream_ingest_metrics"] = t4_stream_ingest_metrics
     return q | (llm.queries() if llm else {})
 
 

@@ -263,6 +263,7 @@ O["t4_ingest_metrics"] = q(
     "count(*) FILTER (change = 'inserted') AS inserted FROM merged",
     *MERGED, base="jobs incoming",
 )
+O["t4_stream_ingest_metrics"] = O["t4_ingest_metrics"]
 O["j5_skill_alias_lookup"] = q(
     f"SELECT job_id, pos, raw_skill, {alias_of('k')} AS alias FROM (SELECT *, {words('raw_skill')} AS k FROM raw_skills)",
     base="raw_skills",

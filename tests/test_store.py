@@ -1,0 +1,147 @@
+"""The bucketed store: touched buckets, versions, schemas by commit, retention."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from vacantis import schema
+from vacantis.operators import progress, upsert
+from vacantis.session import fresh_folder
+from vacantis.sources import bindings as b
+from vacantis.sources import store, tables
+from vacantis.streaming import ingest
+
+EVENT = "task_id long, source string, ts timestamp, event_id long, status string, processed_jobs int, total_jobs int, saved_jobs int, message string"
+
+
+def files_of(spark, root, version):
+    return {(r.bucket, r.file) for r in store.manifest(spark, root, version).where("file is not null").collect()}
+
+
+def landed(spark, df, parts, by):
+    path = fresh_folder(spark, "landed")
+    df.repartitionByRange(parts, by).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_a_batch_leaves_the_files_of_other_buckets(spark, sf_dir):
+    root = fresh_folder(spark, "store")
+    jobs = b.jobs(spark, sf_dir)
+    tables.write_snapshot(jobs, root, buckets=16)
+    batch = upsert.dedup_batch(upsert.has_title_and_url(b.incoming(spark, sf_dir))).orderBy("url").limit(3)
+    touched = {r[0] for r in batch.select(store.bucket_of(["url"], 16)).collect()}
+    version = store.update(
+        batch, root, lambda old, new: upsert.upsert_fill_missing(old, new, F.current_timestamp()).drop("change"), tables.read_snapshot
+    )
+    before, after = files_of(spark, root, 0), files_of(spark, root, version)
+    assert 0 < len(touched) < 16 and version == 1
+    assert {x for x in before if x[0] not in touched} == {x for x in after if x[0] not in touched}
+    assert not {x for x in before if x[0] in touched} & after
+    want = upsert.upsert_fill_missing(jobs, batch, F.current_timestamp()).drop("change", "scraped_at")
+    got = tables.read_snapshot(spark, root).drop("scraped_at")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # the older version is as it was; retention drops it and the files that only it listed
+    old = tables.read_snapshot(spark, root, 0)
+    assert old.exceptAll(jobs).isEmpty() and jobs.exceptAll(old).isEmpty()
+    dropped = store.expire(spark, root, keep=1)
+    assert set(dropped) == {f for _, f in before - after} and store.versions(spark, root) == [1]
+    assert tables.read_snapshot(spark, root).count() == got.count()
+    with pytest.raises(ValueError):
+        store.expire(spark, root, keep=0)
+
+
+def test_empty_batches_and_tables(spark):
+    root = fresh_folder(spark, "store")
+    assert store.latest_version(spark, root) is None
+    ingest.empty_store(spark, root)
+    assert tables.read_snapshot(spark, root).count() == 0
+    none = spark.createDataFrame([], schema.JOBS_SCHEMA)
+    assert store.update(none, root, lambda old, new: old.unionByName(new)) == 0
+    assert tables.read_snapshot(spark, root).columns == schema.JOB_COLUMNS
+    with pytest.raises(FileNotFoundError):
+        store.update(none, fresh_folder(spark, "none"), lambda old, new: old)
+
+
+def test_rows_without_url_and_repeated_rows_are_kept(spark):
+    root = fresh_folder(spark, "store")
+    rows = [{f.name: None for f in schema.JOBS_SCHEMA} | dict(id=i, url=u) for i, u in [(1, None), (1, None), (2, "u"), (None, None), (None, "")]]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema.JOBS_SCHEMA)
+    tables.write_snapshot(df, root, buckets=4)
+    got = tables.read_snapshot(spark, root)
+    assert got.exceptAll(df).isEmpty() and df.exceptAll(got).isEmpty()
+
+
+def test_files_are_read_with_the_schema_of_their_commit(spark):
+    root = fresh_folder(spark, "legacy")
+    old = spark.createDataFrame([(i, "s", "t", f"u{i}", "Full time") for i in range(40)], "id long, source string, title string, url string, remote_type string")
+    tables.write_snapshot(old.withColumns({c: F.lit(None).cast(f.dataType) for f in schema.JOBS_SCHEMA for c in [f.name] if c not in (*old.columns, "contract_type", *schema.ADDED_COLUMNS)}), root, buckets=8)
+    new = {f.name: None for f in schema.JOBS_SCHEMA} | dict(title="new", url="u3", city="Cali", contract_type="Part time")
+    batch = spark.createDataFrame([tuple(new.values())], schema.JOBS_SCHEMA)
+    store.update(batch, root, lambda o, n: upsert.upsert_fill_missing(o, n).drop("change"), tables.read_snapshot)
+    got = {r.id: r for r in tables.read_snapshot(spark, root).collect()}
+    assert len(got) == 40 and {r.contract_type for r in got.values()} == {"Full time"} and got[3].city == "Cali"
+    # a plain folder of mixed files
+    path = fresh_folder(spark, "mixed")
+    tables.append_jobs(old, path)
+    tables.append_jobs(batch, path)
+    assert sorted(r.contract_type for r in tables.scan_jobs(spark, path, legacy=True).collect()) == ["Full time"] * 40 + ["Part time"]
+
+
+def test_two_writers_of_one_version(spark):
+    root = fresh_folder(spark, "store")
+    ingest.empty_store(spark, root)
+    df = spark.createDataFrame([], schema.JOBS_SCHEMA)
+    store._commit(df, root, ["url"], 4, None, 0, None, None)
+    with pytest.raises(store.Conflict):
+        store._commit(df, root, ["url"], 4, None, 0, None, None)
+    assert store.versions(spark, root) == [0, 1]
+
+
+def test_stream_counters_add_up_over_batches(spark, sf_dir):
+    incoming, jobs = b.incoming(spark, sf_dir), b.jobs(spark, sf_dir)
+    root, stamp = fresh_folder(spark, "counted"), F.to_timestamp_ntz(F.lit("2024-06-01 00:00:00"))
+    tables.write_snapshot(jobs, root)
+    ingest.ingest_stream(landed(spark, incoming, 3, "url"), root, fresh_folder(spark, "state"), stamp)
+    merged = upsert.upsert_fill_missing(jobs, upsert.dedup_batch(upsert.has_title_and_url(incoming)), stamp)
+    want = upsert.upsert_counts(merged).first()
+    assert ingest.ingest_totals(spark, root) == {
+        "processed": want["inserted"] + want["enriched"] + want["unchanged"], "saved": want["saved"], "inserted": want["inserted"],
+    }
+
+
+def event(task, source, day, number, status):
+    return (task, source, datetime.datetime(2024, 1, day), number, status, number, 10, 1, "m")
+
+
+def test_progress_goes_on_with_a_new_checkpoint(spark):
+    first = spark.createDataFrame([event(1, "a", 1, 1, "running"), event(1, "b", 1, 2, "running"), event(2, "a", 1, 3, "running")], EVENT)
+    later = spark.createDataFrame([event(1, "a", 2, 4, "completed"), event(3, "a", 2, 5, "error")], EVENT)
+    out = fresh_folder(spark, "progress")
+    declared = spark.createDataFrame([(1, "a"), (1, "b"), (9, "z")], "task_id long, source string")
+    ingest.stream_progress(landed(spark, first, 2, "event_id"), out, fresh_folder(spark, "state"), declared)
+    ingest.stream_progress(landed(spark, later, 1, "event_id"), out, fresh_folder(spark, "state"), declared)
+    got, want = ingest.read_progress(spark, out), progress.ingest_progress(first.union(later), declared)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert {r.task_id: r.status for r in got.collect()} == {1: "running", 2: "running", 3: "completed_with_errors", 9: "queued"}
+
+
+def test_states_of_ended_tasks_are_forgotten(spark):
+    days = [
+        [event(1, "a", 1, 1, "completed"), event(2, "a", 1, 2, "running")], [event(3, "a", 20, 3, "running")],
+        [event(i, "a", 21, 10 + i, "running") for i in range(1, 200)][:0] + [event(1, "b", 2, 4, "running"), event(2, "a", 21, 5, "completed")],
+    ]
+    out = fresh_folder(spark, "progress")
+    for rows in days:
+        ingest.stream_progress(landed(spark, spark.createDataFrame(rows, EVENT), 1, "event_id"), out, fresh_folder(spark, "state"), forget="5 days")
+    states = {(r.task_id, r.source) for r in store.read(spark, f"{out}/states").collect()}
+    assert (3, "a") in states and (2, "a") in states and (1, "b") not in states
+    # the late event of the ended task was ignored, its totals stay
+    assert {r.task_id: r.status for r in ingest.read_progress(spark, out).collect()} == {1: "completed", 2: "completed", 3: "running"}
+
+
+def test_forgetting_leaves_running_tasks(spark):
+    rows = [event(1, "a", 1, 1, "completed"), event(1, "b", 2, 2, "error"), event(2, "a", 1, 3, "running"), event(2, "b", 1, 4, "completed"), event(3, "a", 20, 5, "completed")]
+    states = progress.states_with_position(spark.createDataFrame(rows, EVENT))
+    assert {r.task_id for r in progress.still_needed(states, "5 days").collect()} == {2, 3}
+    assert progress.still_needed(states, None).count() == 5

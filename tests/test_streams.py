@@ -5,7 +5,7 @@ import pytest
 from vacantis.operators import progress, upsert
 from vacantis.session import fresh_folder
 from vacantis.sources import bindings as b
-from vacantis.sources import tables
+from vacantis.sources import store, tables
 from vacantis.streaming import ingest
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ def incoming(spark, sf_dir):
 def test_ingest_stream_equals_merge_in_order(spark, sf_dir, incoming):
     jobs = b.jobs(spark, sf_dir)
     root, state = fresh_folder(spark, "store"), fresh_folder(spark, "state")
-    tables.write_snapshot(jobs, root, 0)
+    tables.write_snapshot(jobs, root)
     # urls do not cross files, so one merge of everything is the expected result
     stream = landed(spark, incoming, 3, "url")
     version = ingest.ingest_stream(stream, root, state, stamp())
@@ -43,7 +43,7 @@ def test_ingest_stream_equals_merge_in_order(spark, sf_dir, incoming):
     late = late.withColumn("title", F.lit("t")).withColumn("source", F.when(F.col("url") != "new-0", "s"))
     assert ingest.ingest_stream(landed(spark, late, 1, "url"), root, fresh_folder(spark, "state"), stamp(), skip_existing=True) == 4
     assert tables.read_snapshot(spark, root).count() == want.count() + 2
-    assert tables.committed(spark, root, state, 2) and not tables.committed(spark, root, state, 3)
+    assert store.committed(spark, root, state, 2) and not store.committed(spark, root, state, 3)
 
 
 def test_stream_dedup_across_batches(spark, incoming):

@@ -84,7 +84,7 @@ def test_conform_schema_keeps_current_columns(stored):
 
 def test_merge_twice_changes_nothing(spark, stored, arrived):
     root = fresh_folder(spark, "merge")
-    tables.write_snapshot(upsert.upsert_fill_missing(stored, arrived).drop("change"), root, 1)
+    tables.write_snapshot(upsert.upsert_fill_missing(stored, arrived).drop("change"), root)
     once = tables.read_snapshot(spark, root)
     again = upsert.upsert_fill_missing(once, arrived)
     assert upsert.upsert_counts(again).first()["inserted"] == 0

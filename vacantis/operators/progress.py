@@ -9,15 +9,43 @@ FINISHED = ["completed", "error"]
 COUNTERS = ["processed_jobs", "total_jobs", "saved_jobs"]
 
 
-def latest_states(events: DataFrame) -> DataFrame:
-    """Last state per (task, source) by time and event id, with the time of its first event."""
+def states_with_position(events: DataFrame) -> DataFrame:
+    """Last state per (task, source) by time and event id, with the places of its first and last event."""
     position = F.struct("ts", "event_id")
     state = F.struct("status", *COUNTERS, "message")
     return (
         events.groupBy("task_id", "source")
-        .agg(F.max_by(state, position).alias("state"), F.min(position).alias("started"))
-        .select("task_id", "source", "started", "state.*")
+        .agg(F.max_by(state, position).alias("state"), F.min(position).alias("started"), F.max(position).alias("last"))
+        .select("task_id", "source", "started", "last", "state.*")
+    )
+
+
+def latest_states(events: DataFrame) -> DataFrame:
+    """Last state per (task, source) by time and event id, with the time of its first event."""
+    return states_with_position(events).drop("last")
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """States of several batches in one: the same as those of all their events."""
+    state = F.struct("status", *COUNTERS, "message")
+    return (
+        states.groupBy("task_id", "source")
+        .agg(F.max_by(state, "last").alias("state"), F.min("started").alias("started"), F.max("last").alias("last"))
+        .select("task_id", "source", "started", "last", "state.*")
+    )
+
+
+def still_needed(states: DataFrame, forget: str | None) -> DataFrame:
+    """Without the states of tasks that ended, with all their sources, ``forget`` before the newest event."""
+    if forget is None:
+        return states
+    newest = states.agg(F.max("last.ts").alias("newest"))
+    ended = (
+        states.groupBy("task_id")
+        .agg(F.every(F.col("status").isin(FINISHED)).alias("ended"), F.max("last.ts").alias("ts"))
+        .where(F.col("ended") & (F.col("ts") < newest.scalar() - F.expr(f"INTERVAL {forget}")))
     )
+    return states.join(ended.select("task_id"), "task_id", "left_anti")
 
 
 def with_declared(states: DataFrame, declared: DataFrame | None) -> DataFrame:

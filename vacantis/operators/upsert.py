@@ -82,20 +82,20 @@ def _blank(c: Column, text: bool) -> Column:
 
 
 def upsert_fill_missing(
-    existing: DataFrame, incoming: DataFrame, ingest_ts: Column | None = None
+    existing: DataFrame, incoming: DataFrame, ingest_ts: Column | None = None, is_stored: bool = False
 ) -> DataFrame:
     """The merged table with a ``change`` column.
 
     A stored posting with the same url gets its empty fields filled (``enriched``, or
     ``unchanged`` when nothing was missing); an unknown url is ``inserted``; postings the
     batch does not mention have no change. ``incoming`` holds one row per url; it is stored
-    first, as it is read several times.
+    first, as it is read several times, unless it is so already.
 
     The stored side is the left side of one join: when the batch is small enough, Spark
     broadcasts it by measured size and the stored rows are never shuffled.
     """
     ingest_ts = F.lit(None) if ingest_ts is None else ingest_ts
-    incoming = stored(incoming, "batch")
+    incoming = incoming if is_stored else stored(incoming, "batch")
     fields = TEXT_FIELDS + TYPED_FIELDS + ["skills"]
     batch = incoming.select(
         F.col("url").alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in fields]
