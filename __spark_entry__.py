@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from oracles.sql import ORACLES
 from vacantis import fixed_values as fixed
 from vacantis import schema
-from vacantis.functions import markup, parsing, skills, text
+from vacantis.functions import pages, parsing, skills, text
 from vacantis.operators import counts, derive, extract, progress, search, series, upsert
 from vacantis.plans import forecast, overview
 from vacantis.session import fresh_folder
@@ -353,7 +353,7 @@ def queries() -> dict[str, Query]:
     )
     q["h4_extract_links"] = lambda spark, d: extract.extract_links(b.microdata_pages(spark, d))
     q["h5_extract_skill_tags"] = lambda spark, d: b.detail_pages(spark, d).select(
-        "page_id", F.to_json(extract.skill_tags(markup.without_scripts(C("html")))).alias("skills")
+        "page_id", F.to_json(pages.skill_tags("html")).alias("skills")
     )
     q["h6_work_mode_cascade"] = lambda spark, d: extract.extract_microdata(
         b.microdata_pages(spark, d), _ingest_ts()

@@ -1,11 +1,14 @@
 """Element extraction on nested and irregular markup."""
 
 import html
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from vacantis.functions import markup as m
+from vacantis.functions import pages
+from vacantis.functions.pages import Page, equals, holds
 from vacantis.operators import extract
 
 PAGE = """<!-- <h1 itemprop="title">old</h1> --><script>"<h1 itemprop='title'>no</h1>"</script>
@@ -16,44 +19,77 @@ PAGE = """<!-- <h1 itemprop="title">old</h1> --><script>"<h1 itemprop='title'>no
 <div class="skill"><div class="Skill-in">Scrum</div></div><div class="box">open end"""
 
 
-def value(spark, rule):
-    df = spark.createDataFrame([(PAGE,)], "html string")
-    return df.select(rule(m.without_scripts(F.col("html")))).first()[0]
+def test_first_element_and_references():
+    page = Page(PAGE)
+    assert page.joined(page.first(None, "itemprop", equals("title")), " ") == "Café & Té € &bogus;"
 
 
-def test_first_element_and_references(spark):
-    got = value(spark, lambda h: m.joined_text(m.first_inner(h, m.opening(itemprop="title")), " "))
-    assert got == "Café & Té € &bogus;"
+def test_nested_element_is_kept_whole():
+    page = Page(PAGE)
+    assert page.joined(page.first("div", "class", holds("box")), "|") == "one|two|three"
 
 
-def test_nested_element_is_kept_whole(spark):
-    got = value(spark, lambda h: m.joined_text(m.first_inner(h, m.opening("div", ["box"])), "|"))
-    assert got == "one|two|three"
+def test_all_elements_include_nested_and_unclosed(spark):
+    page = Page(PAGE)
+    assert [page.joined(e, "|") for e in page.elements("div", "class", holds("box"))] == ["one|two|three", "open end"]
+    df = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id long, html string")
+    assert {r.page_id: r.s for r in df.select("page_id", pages.skill_tags("html").alias("s")).collect()} == {1: ["Scrum", "Scrum"], 2: None, 3: None}
 
 
-def test_all_elements_include_nested_and_unclosed(spark):
-    got = value(spark, lambda h: F.transform(m.all_inner(h, m.opening("div", ["box"])), lambda c: m.joined_text(c, "|")))
-    assert got == ["one|two|three", "open end"]
-    tags = value(spark, extract.skill_tags)
-    assert tags == ["Scrum", "Scrum"]
+def test_parent_of_icon():
+    page = Page(PAGE)
+    assert page.joined(page.around(page.first("i", "class", holds("icon-wifi"))), " ") == "x Trabajo remoto"
 
 
-def test_parent_of_icon(spark):
-    got = value(spark, lambda h: m.joined_text(m.parent_inner(h, m.opening("i", ["icon-wifi"])), " "))
-    assert got == "x Trabajo remoto"
+def test_absent_and_void_elements():
+    page = Page(PAGE)
+    assert page.joined(page.first(None, "itemprop", equals("zzz")), "") is None
+    meta = page.first(None, "itemprop", equals("employmentType"))
+    assert page.joined(meta, "") == "" and page.attributes(meta[0])["content"] == "Full"
 
 
-def test_absent_and_void_elements(spark):
-    assert value(spark, lambda h: m.joined_text(m.first_inner(h, m.opening(itemprop="zzz")), "")) is None
-    assert value(spark, lambda h: m.first_inner(h, m.opening(itemprop="employmentType"))) == ""
-    attribute = value(spark, lambda h: m.attribute_of(m.from_first(h, m.opening(itemprop="employmentType")), "content"))
-    assert attribute == "Full"
+@pytest.mark.parametrize("tag, text", [
+    ("<h1 itemprop=title>", "Dev"), ("<h1 data-x='a > b' itemprop=title>", "Dev"), ('<h1 itemprop="title" data-x="a > b">', "Dev"),
+    ("<H1 ITEMPROP = 'title' x>", "Dev"), ("<h1 data-itemprop=title>", None), ("<h1 x='itemprop=title'>", None),
+    ("<h1 itemprop=title itemprop=other>", "Dev"), ("<h1 itemprop=other itemprop=title>", None), ('<h1 itemprop="title" y="open>', "Dev"),
+])
+def test_attributes_in_all_spellings(spark, tag, text):
+    df = spark.createDataFrame([(1, "u", f"<p>{tag}Dev</h1></p>")], "page_id long, url string, html string")
+    assert extract.extract_microdata(df, F.lit(None).cast("timestamp_ntz")).first()["title"] == text
+
+
+@pytest.mark.parametrize("container, link", [
+    ('<div data-x="a > b" class="magneto-ui-card-jobs_container">', '<a href="/co/empleos/1">'),
+    ("<div class='x magneto-ui-card-jobs_container' y='>'>", "<a title='a > b' href=/co/empleos/1>"),
+    ("<DIV CLASS=magneto-ui-card-jobs_container>", '<A data-href="/co/empleos/2" HREF = "/co/empleos/1">'),
+])
+def test_cards_with_a_bracket_in_a_value(spark, container, link):
+    html = f"""{container}{link}<h2 title="1 > 0" class="text--big text--bold">Dev</h2></a><p>ACME | Fijo</p></div>"""
+    rows = extract.extract_cards(spark.createDataFrame([(1, 0, 0, html)], "page_id long, term_seq long, page_seq long, html string")).collect()
+    assert [(r.url, r.title, r.company) for r in rows] == [("https://www.magneto365.com/co/empleos/1", "Dev", "ACME")]
+
 
+def test_elements_end_with_the_card_that_holds_them():
+    page = Page("<div class=card><p class=t>open <div class=card><p class=t>two</p></div> tail</div> after")
+    cards = list(page.elements("div", "class", holds("card")))
+    assert [page.plain(page.first("p", "class", holds("t"), inside=c)) for c in cards] == ["open two tail", "two"]
 
-def test_long_page_is_read_to_its_end(spark):
-    body = "<p>word</p>" * 20000
-    df = spark.createDataFrame([(f'<div itemprop="description">{body}<div>end</div></div>tail',)], "html string")
-    got = df.select(m.joined_text(m.first_inner(F.col("html"), m.opening(itemprop="description")), " ")).first()[0]
+
+def test_time_follows_the_length_of_a_page():
+    def seconds(n):
+        page = "<html>" + "<div class=skill><span class=summary_label>word <b>x</b></span></div>" * n + "<p>open" * n
+        start = time.process_time()
+        found = pages._detail(Page(page))
+        return time.process_time() - start, len(found["labels"])
+
+    assert seconds(200)[1] == 200
+    (short, _), (long, n) = min(seconds(1000), seconds(1000)), min(seconds(8000), seconds(8000))
+    assert n == 8000 and long < 16 * short  # 8 times the length
+
+
+def test_long_page_is_read_to_its_end():
+    page = Page(f'<div itemprop="description">{"<p>word</p>" * 20000}<div>end</div></div>tail')
+    got = page.joined(page.first(None, "itemprop", equals("description")), " ")
     assert got.count("word") == 20000 and got.endswith("end")
 
 
@@ -84,8 +120,3 @@ def test_links_in_all_spellings(spark):
     pages = spark.createDataFrame([(1, page)], "page_id long, html string")
     got = [r.url for r in extract.extract_links(pages, "/empleos/", [], "https://s.example").orderBy("pos").collect()]
     assert got == [f"https://s.example/empleos/{x}" for x in ("1", "2", "3?a&b", "4/", "6")]
-
-
-def test_bare_class(spark):
-    df = spark.createDataFrame([("<p class=other>n</p><p id=x class=wanted>y</p>",)], "html string")
-    assert df.select(m.joined_text(m.inner(m.from_first(F.col("html"), m.opening("p", ["wanted"]))), "")).first()[0] == "y"

@@ -1,26 +1,18 @@
-"""Column expressions that locate elements in HTML text.
-
-Regular expressions find the opening tag; the matching closing tag is found by counting
-tags of the same name, so nested markup is kept whole.
-"""
+"""Column expressions over tags and character references of HTML text."""
 
 from __future__ import annotations
 
-import re
 from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacantis.functions.text import let, literal_map, trim_spaces
+from vacantis.functions.text import let, literal_map
 
-ANY_TAG = r"[a-zA-Z][a-zA-Z0-9-]*"
 # the rest of a tag: a quoted value may hold ">"; possessive, so that long tags need no stack
 REST_OF_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 # one attribute of a tag: quoted, bare or without value
 ATTRIBUTE = r"""[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?"""
-TAGS = rf"(?s)</?[a-zA-Z]{REST_OF_TAG}|</?[a-zA-Z][^>]*>|<![^>]*>"
-VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
 def without_scripts(html: Column) -> Column:
@@ -29,34 +21,6 @@ def without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, hidden, "")
 
 
-def _attribute(name: str, part: str) -> str:
-    """An attribute whose value holds ``part``."""
-    quoted, bare = rf"[^\"']*{part}[^\"']*", rf"[^\s\"'>]*{part}[^\s\"'>]*"
-    return rf"(?=[^>]*\s(?i:{name})\s*=\s*(?:\"{quoted}\"|'{quoted}'|{bare}(?=[\s>])))"
-
-
-def opening(tag: str = ANY_TAG, classes: list[str] | None = None, **attributes: str | None) -> str:
-    """Pattern of an opening tag; its first group is the tag name.
-
-    ``classes`` are pattern fragments the class attribute must hold; an attribute must
-    equal its value, or only be present when the value is None.
-    """
-    tests = [_attribute("class", part) for part in classes or []]
-    for name, value in attributes.items():
-        name = name.replace("_", "-")
-        if value is None:
-            tests.append(rf"(?=[^>]*\s(?i:{name})[\s=>])")
-        else:
-            exact = re.escape(value)
-            tests.append(rf"(?=[^>]*\s(?i:{name})\s*=\s*(?:\"{exact}\"|'{exact}'|{exact}(?=[\s>])))")
-    return rf"<((?i:{tag}))(?=[\s/>])" + "".join(tests) + "[^>]*>"
-
-
-def from_first(html: Column, pattern: str) -> Column:
-    """The page from the first tag that matches, or empty text."""
-    return F.regexp_extract(html, f"(?s){pattern}.*", 0)
-
-
 def attribute_of(element: Column, name: str) -> Column:
     """Attribute of the tag a text starts with; NULL when it has none."""
     tag = F.regexp_extract(element, f"(?s)^<{REST_OF_TAG}", 0)
@@ -69,122 +33,6 @@ def attribute_of(element: Column, name: str) -> Column:
     )
 
 
-def _closed(html: Column, pattern: str) -> Column:
-    """From the first matching tag to the next closing tag of its name, or empty text."""
-    return F.regexp_extract(html, rf"(?s){pattern}.*?</(?i:\1)\s*>", 0)
-
-
-def _needs_balance(quick: Column) -> Column:
-    """Nothing was found up to a closing tag, or a tag of the same name opens inside."""
-    return (quick == "") | quick.rlike(rf"(?is)^<({ANY_TAG})[\s/>].*?<\1[\s/>]")
-
-
-def _unwrapped(quick: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(quick, "^<[^>]*>", ""), r"</[a-zA-Z0-9-]+\s*>$", "")
-
-
-def inner(element: Column) -> Column:
-    """Content of the element a text starts with; NULL when the text is empty."""
-    return let(
-        _closed(element, f"^<({ANY_TAG})[^>]*>"),
-        lambda quick: F.when(_needs_balance(quick), _balanced(element)).otherwise(_unwrapped(quick)),
-    )
-
-
-def first_inner(html: Column, pattern: str) -> Column:
-    """Content of the first matching element, else NULL."""
-    return let(
-        _closed(html, pattern),
-        lambda quick: F.when(
-            _needs_balance(quick), let(from_first(html, pattern), _balanced)
-        ).otherwise(_unwrapped(quick)),
-    )
-
-
-def _balanced(element: Column) -> Column:
-    """Content up to the closing tag that balances the opening one."""
-
-    def content(parts: Column) -> Column:
-        def step(seen: Column, part: Column) -> Column:
-            change = (
-                F.when(F.startswith(part, F.lit("</")), -1)
-                .when(part.rlike("^<[^>]*/>"), 0)
-                .otherwise(1)
-            )
-            depth = seen["depth"] + change
-            position = seen["position"] + 1
-            end = F.when(seen["end"] > 0, seen["end"]).when(depth == 0, position).otherwise(F.lit(0))
-            return F.struct(depth.alias("depth"), position.alias("position"), end.alias("end"))
-
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("position"), F.lit(0).alias("end"))
-        closed = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step)["end"]
-        return let(
-            closed,
-            lambda end: F.array_join(
-                F.when(end > 0, F.slice(parts, F.lit(1), end)).otherwise(parts), ""
-            ),
-        )
-
-    tag = F.lower(F.regexp_extract(element, f"^<({ANY_TAG})", 1))
-    # the blank keeps the first part free of tags
-    body = F.concat(F.lit(" "), F.regexp_replace(element, "^<[^>]*>", ""))
-    parts = F.split(body, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
-    return F.when(
-        element != "", F.when(tag.isin(VOID), F.lit("")).otherwise(let(parts, content))
-    )
-
-
-def parent_inner(html: Column, pattern: str) -> Column:
-    """Content of the element around the first matching tag, else NULL.
-
-    The tags before it are walked backwards to the first one that is still open.
-    """
-
-    def enclosing(before: Column) -> Column:
-        def step(seen: Column, part: Column) -> Column:
-            tag = F.lower(F.regexp_extract(part, f"^<({ANY_TAG})", 1))
-            opens = (tag != "") & ~tag.isin(VOID) & ~part.rlike("^<[^>]*/>")
-            found = (seen["back"] == 0) & opens & (seen["closed"] == 0)
-            taken = seen["taken"] + F.length(part)
-            change = F.when(F.startswith(part, F.lit("</")), 1).when(opens, -1).otherwise(0)
-            return F.struct(
-                (seen["closed"] + change).alias("closed"),
-                taken.alias("taken"),
-                F.when(found, taken).otherwise(seen["back"]).alias("back"),
-            )
-
-        zero = F.lit(0)
-        start = F.struct(zero.alias("closed"), zero.alias("taken"), zero.alias("back"))
-        parts = F.reverse(F.split(before, r"(?=</?[a-zA-Z])"))
-        back = F.aggregate(parts, start, step)["back"]
-        return let(
-            back,
-            lambda b: F.when(b > 0, inner(F.substr(html, F.length(before) - b + 1))),
-        )
-
-    before = F.regexp_extract(html, f"(?s)^(.*?){pattern}", 1)
-    return F.when(html.rlike(pattern), let(before, enclosing))
-
-
-def all_elements(html: Column, pattern: str) -> Column:
-    """The page from each matching tag on, nested matches included, in page order."""
-    return let(
-        F.split(F.concat(F.lit(" "), html), f"(?={pattern})"),
-        lambda parts: F.when(
-            F.size(parts) > 1,
-            F.transform(
-                F.sequence(F.lit(2), F.size(parts)),
-                lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""),
-            ),
-        ).otherwise(F.array().cast("array<string>")),
-    )
-
-
-def all_inner(html: Column, pattern: str) -> Column:
-    """Content of every matching element."""
-    return F.transform(all_elements(html, pattern), inner)
-
-
 def _after(part: Column, name: str) -> Column:
     """The character of a named reference and what follows it."""
     return F.concat(F.lit(chr(name2codepoint[name])), F.substr(part, F.lit(len(name) + 2)))
@@ -237,18 +85,3 @@ def unescape(text: Column) -> Column:
         text,
         lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&"), resolve_all)).otherwise(t),
     )
-
-
-def texts(content: Column) -> Column:
-    """Stripped text pieces between the tags, empty ones included."""
-    return F.transform(F.split(content, TAGS), lambda t: trim_spaces(unescape(t)))
-
-
-def joined_text(content: Column, separator: str) -> Column:
-    """Non-empty text pieces joined; NULL content stays NULL."""
-    return F.array_join(F.filter(texts(content), lambda t: t != ""), separator)
-
-
-def plain_text(content: Column) -> Column:
-    """Text with its tags removed, stripped at both ends."""
-    return trim_spaces(unescape(F.regexp_replace(content, TAGS, "")))
