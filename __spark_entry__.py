@@ -84,6 +84,11 @@ def _raw_postings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _task_progress(spark: SparkSession, d: str) -> DataFrame:
+    states = progress.latest_states(b.progress(spark, d))
+    return progress.task_progress_of(progress.with_declared(states, b.declared_of(states)))
+
+
 # --- sources and sinks -------------------------------------------------------
 
 def s3_declared_schema(spark: SparkSession, d: str) -> DataFrame:
@@ -238,16 +243,14 @@ def queries() -> dict[str, Query]:
     q["a10_ingest_stats"] = _jobs(counts.ingest_stats)
     q["a11_skill_month_counts"] = _jobs(counts.skill_month_counts)
     q["a12_skill_month_counts_all"] = _jobs(counts.skill_month_counts_all)
-    q["a13_ingest_progress"] = lambda spark, d: progress.ingest_progress(
-        b.progress(spark, d), b.declared_sources(spark, d)
-    )
+    q["a13_ingest_progress"] = _task_progress
     q["a14_source_progress"] = lambda spark, d: progress.source_progress(b.progress(spark, d))
     q["a15_overview"] = _jobs(overview.overview)
     q["a15_overview_filtered"] = _jobs(lambda j: overview.overview(j, source="5-LOW", top_n=20))
 
     # sort, limit, top-k
     q["l1_page"] = _jobs(
-        lambda j: search.newest_first(search.matching(j, source="2-HIGH"), 50, 100).select("id", "scraped_at", "title")
+        lambda j: search.newest_first(search.matching(j, source="2-HIGH"), 50, 100, j).select("id", "scraped_at", "title")
     )
     q["l2_search_jobs"] = _jobs(lambda j: _search_result(j))
     q["l3_list_recent"] = _jobs(lambda j: search.list_recent(j).select("id", "scraped_at", "source", "title", "city"))

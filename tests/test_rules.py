@@ -142,3 +142,10 @@ def test_iso_timestamp_with_many_digits(spark):
 
 def test_detect_english_under_many_marks(spark):
     assert apply(spark, text.detect_english, ["i" + "\u0301" * 9 + "ngles", "No REQUIERE\xa0 Ingle\u0301s", "pingles"]) == [True, False, None]
+
+
+def test_hangul_is_taken_apart(spark):
+    texts = ["\uac00\ud7a3 \ud55c\uad6d\uc5b4 caf\u00e9 \u01d5", "\uac01\uac1c", "plain", "\u00e9", "\u1100\u1161"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip_accents(F.col("t")).alias("f")).collect()
+    for r in rows:
+        assert r.f == "".join(c for c in unicodedata.normalize("NFD", r.t) if unicodedata.category(c) != "Mn")

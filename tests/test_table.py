@@ -78,6 +78,24 @@ def test_constraints(spark):
     assert {r["id"]: r["violation"] for r in bad.collect()} == {2: "duplicate_url", 3: "missing_source", 4: "missing_title"}
 
 
+def test_equal_rows_take_a_url_once(spark):
+    data = [(None, "s", "t", "u")] * 2 + [(None, "s", "t", "v")] * 3 + [(None, None, "t", "w")] * 2 + [(None, "s", "t", None)] * 2
+    valid, bad = schema.split_invalid(spark.createDataFrame(data, "id long, source string, title string, url string"))
+    assert sorted(str(r["url"]) for r in valid.collect()) == ["None", "None", "u", "v"]
+    assert sorted((r["url"], r["violation"]) for r in bad.collect()) == [
+        ("u", "duplicate_url"), ("v", "duplicate_url"), ("v", "duplicate_url"), ("w", "missing_source"), ("w", "missing_source"),
+    ]
+
+
+def test_a_search_runs_once_for_total_and_page(stored):
+    total, page = search.search_jobs(stored, search="dev", limit=7, offset=40)
+    want = search.matching(stored, "dev").select("id", "scraped_at").collect()
+    want.sort(key=lambda r: (r.scraped_at is not None, r.scraped_at or 0, r.id), reverse=True)
+    assert total.first()["total"] == len(want) and [r.id for r in page.collect()] == [r.id for r in want[40:47]]
+    plan = plan_of(page)
+    assert "ilike" not in plan.lower() and "offset=" not in plan.lower()
+
+
 def test_conform_schema_keeps_current_columns(stored):
     assert schema.conform_schema(stored).columns == stored.columns
 

@@ -50,6 +50,35 @@ def literal_array(values: list[str]) -> Column:
     return F.split(F.lit("\x01".join(values)), "\x01")
 
 
+# The composed syllables, and the first and number of leading, vowel and trailing letters.
+HANGUL = (0xAC00, 0xD7A3)
+LEADING, VOWELS, TRAILING = (0x1100, 19), (0x1161, 21), (0x11A8, 27)
+
+
+def _letters(first: int, n: int) -> Column:
+    return literal_array([chr(first + i) for i in range(n)])
+
+
+def _syllables_apart(text: Column) -> Column:
+    """Each Hangul syllable as its leading letter, vowel and trailing letter, if it has one."""
+    low, high = map(chr, HANGUL)
+    per_vowel = TRAILING[1] + 1
+    per_leading = VOWELS[1] * per_vowel
+
+    def letters(code: Column) -> Column:
+        trailing = code % per_vowel
+        return F.concat(
+            F.get(_letters(*LEADING), F.floor(code / per_leading).cast("int")),
+            F.get(_letters(*VOWELS), F.floor(code % per_leading / per_vowel).cast("int")),
+            F.when(trailing > 0, F.get(_letters(*TRAILING), trailing - 1)).otherwise(F.lit("")),
+        )
+
+    def apart(ch: Column) -> Column:
+        return F.when(ch.between(low, high), let(F.ascii(ch) - HANGUL[0], letters)).otherwise(ch)
+
+    return F.when(text.rlike(f"[{low}-{high}]"), F.array_join(F.transform(F.split(text, ""), apart), "")).otherwise(text)
+
+
 def _fold(text: str) -> str:
     """Driver-side accent folding of fixed values and of single code points."""
     decomposed = unicodedata.normalize("NFD", text)
@@ -60,11 +89,11 @@ def _fold(text: str) -> str:
 def _accent_tables() -> tuple[str, str, dict[str, str]]:
     """Rule-built translation: every code point whose folded form differs.
 
-    Hangul syllables are left composed; no fixed value contains Hangul.
+    Hangul syllables are not listed; they are taken apart by arithmetic.
     """
     source, target, longer = [], [], {}
     for point in range(0x80, 0x2FA20):
-        if 0xAC00 <= point <= 0xD7A3:
+        if HANGUL[0] <= point <= HANGUL[1]:
             continue
         ch = chr(point)
         decomposition = unicodedata.decomposition(ch)
@@ -90,7 +119,7 @@ def _fold_non_ascii(text: Column) -> Column:
             lambda ch: F.coalesce(F.try_element_at(literal_map(longer), ch), ch),
         )
         found = translated.rlike(f"[{min(longer)}-\\x{{10FFFF}}&&[{''.join(longer)}]]")
-        return F.when(found, F.array_join(expanded, "")).otherwise(translated)
+        return let(F.when(found, F.array_join(expanded, "")).otherwise(translated), _syllables_apart)
 
     marks = r"[\u0300-\x{10FFFF}&&\p{Mn}]+"
     return F.regexp_replace(let(F.translate(text, source, target), expand), marks, "")

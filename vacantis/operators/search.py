@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantis import fixed_values as fixed
 from vacantis.functions.text import non_empty
+from vacantis.operators.ranking import between, ranked
 
 
 def bounded(name: str, value: int, bounds: tuple[int, int | None]) -> int:
@@ -69,18 +70,27 @@ def count_filtered(df: DataFrame, search: str | None = None, **filters: str | No
     return matching(df, search, **filters).agg(F.count("*").alias("total"))
 
 
-def newest_first(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def _order(at: str = "scraped_at", key: str = "id") -> list[Column]:
+    return [F.col(at).desc_nulls_last(), F.col(key).desc()]
+
+
+def _looked_up(table: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
+    """The rows of a page by fetch time and id, out of a table that no search has to be run over again."""
+    keys = keys.select(F.col("scraped_at").alias("_at"), F.col("id").alias("_id"))
+    on = F.col("scraped_at").eqNullSafe(F.col("_at")) & F.col("id").eqNullSafe(F.col("_id"))
+    return table.join(keys, on, "left_semi").orderBy(*_order()).limit(limit)
+
+
+def newest_first(df: DataFrame, limit: int, offset: int = 0, table: DataFrame | None = None) -> DataFrame:
     """Rows ``offset .. offset+limit`` by fetch time and id, newest first.
 
-    Only fetch times and ids are ordered; the page's rows, ``limit`` of them, are looked up.
+    Only fetch times and ids are ordered, in ranges with a count each, so any offset reads the ranges that
+    hold the page. The page's rows, ``limit`` of them, are looked up in ``table``, of which ``df`` is a part.
     """
     bounded("limit", limit, (0, None))
     bounded("offset", offset, (0, None))
-    order = [F.col("scraped_at").desc_nulls_last(), F.col("id").desc()]
-    page = df.select("scraped_at", "id").orderBy(*order).offset(offset).limit(limit)
-    keys = page.select(F.col("scraped_at").alias("_at"), F.col("id").alias("_id"))
-    on = F.col("scraped_at").eqNullSafe(F.col("_at")) & F.col("id").eqNullSafe(F.col("_id"))
-    return df.join(keys, on, "left_semi").orderBy(*order).limit(limit)
+    found = ranked(df.select("scraped_at", "id"), _order())
+    return _looked_up(df if table is None else table, between(found, offset, offset + limit), limit)
 
 
 def search_jobs(
@@ -90,14 +100,14 @@ def search_jobs(
     offset: int = 0,
     **filters: str | None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(total, page): the count of matching postings and one page of them."""
+    """(total, page): the count of matching postings and one page of them; the search runs once for both."""
     bounded("limit", limit, fixed.SEARCH_LIMIT)
     bounded("offset", offset, (0, None))
-    found = matching(df, search, **filters)
-    total = found.agg(
-        F.count("*").alias("total"), F.lit(limit).alias("limit"), F.lit(offset).alias("offset")
+    found = ranked(matching(df, search, **filters).select("scraped_at", "id"), _order())
+    total = df.sparkSession.range(1).select(
+        F.lit(found.total).cast("long").alias("total"), F.lit(limit).alias("limit"), F.lit(offset).alias("offset")
     )
-    return total, newest_first(found, limit, offset)
+    return total, _looked_up(df, between(found, offset, offset + limit), limit)
 
 
 def list_recent(df: DataFrame, limit: int = fixed.RECENT_LIMIT) -> DataFrame:

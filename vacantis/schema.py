@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantis.session import stored
+
 JOBS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("source", T.StringType()),
@@ -55,25 +57,25 @@ def flag_invalid(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Add ``violation``: NULL, ``missing_source``, ``missing_title`` or ``duplicate_url``.
 
     Of several rows with one url that have source and title the first by ``order`` stays
-    valid, as under a unique index: a refused row takes no url. First rows are found by a
-    partial aggregate and joined by url and position, so no url gathers in one task.
+    valid, as under a unique index: a refused row takes no url. The rows are numbered and stored once, so equal
+    rows are told apart and one of them takes the url. First rows are found by a
+    partial aggregate and joined by number, so no url gathers in one task.
     """
-    position = F.struct(*[F.col(c) for c in (order or ["id"])])
+    numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    position = F.struct(*[F.col(c) for c in (order or ["id"])], "_row")
     complete = F.col("source").isNotNull() & F.col("title").isNotNull()
     firsts = (
-        df.where(complete & F.col("url").isNotNull())
-        .groupBy(F.col("url").alias("_url"))
-        .agg(F.min(position).alias("_position"))
-        .withColumn("_first", F.lit(True))
+        numbered.where(complete & F.col("url").isNotNull())
+        .groupBy("url")
+        .agg(F.min(position)["_row"].alias("_row"))
+        .select("_row", F.lit(True).alias("_first"))
     )
-    placed = df.withColumn("_at", position)
-    joined = placed.join(firsts, (placed["_at"] == firsts["_position"]) & (placed["url"] == firsts["_url"]), "left")
-    return joined.withColumn(
+    return numbered.join(firsts, "_row", "left").withColumn(
         "violation",
         F.when(F.col("source").isNull(), "missing_source")
         .when(F.col("title").isNull(), "missing_title")
         .when(F.col("url").isNotNull() & F.col("_first").isNull(), "duplicate_url"),
-    ).drop("_at", "_url", "_position", "_first")
+    ).drop("_row", "_first")
 
 
 def split_invalid(df: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

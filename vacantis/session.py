@@ -24,9 +24,19 @@ def local_session(cpus: int | str = 8, name: str = "vacantis") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse.
+
+    Beyond a local session a warehouse on the driver's own disk is refused: executors would not see it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    local = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:

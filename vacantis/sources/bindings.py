@@ -234,13 +234,18 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress_of(spread(given(spark, sf_dir, "events")))
 
 
-def declared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(task_id, source): those of the events, and for some tasks one that has sent none."""
-    seen = progress(spark, sf_dir).select("task_id", "source").distinct()
+def declared_of(states: DataFrame) -> DataFrame:
+    """(task_id, source) of (task, source) states, and for some tasks one that has sent no event."""
+    seen = states.select("task_id", "source").distinct()
     silent = seen.where("task_id % 5 = 3").select("task_id", F.lit("archive").alias("source"))
     return seen.union(silent.distinct())
 
 
+def declared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task_id, source): those of the events, and for some tasks one that has sent none."""
+    return declared_of(progress(spark, sf_dir))
+
+
 def microdata_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, MICRODATA_PAGES, jobs=jobs(spark, sf_dir))
 
