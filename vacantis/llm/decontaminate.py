@@ -4,11 +4,13 @@ A document leaks a benchmark item if some window of it, as many words long as th
 similarity of at least SIMILARITY with it: over word 5-grams weighed by their letters, the sum of the
 smaller weights over the sum of the larger.
 
-1. Windows. A window as similar as that shares 5-grams with the item, and most of them at the same
-   distance from its start. So the 5-grams of all documents are looked up among the items', and every hit
-   lays an item-sized window over the document, with the hit at the item's own place. No window without
-   a shared 5-gram could pass step 3.
-2. Search. Windows and items get 64-bit SimHash fingerprints. Within RADIUS bits of 64, one of BLOCKS
+1. Windows. No window without a shared 5-gram could pass step 3. So the 5-grams of all documents are looked up
+   among the items', and every hit lays an item-sized window over the document with the hit at the item's own
+   place. Further ones begin where a row of hits begins, and end where one ends, so that moved and cut passages
+   have a window that fits them as well.
+2. Search. Windows and items get PRINTS independent 64-bit SimHash fingerprints. A 5-gram counts there by the root of
+   its weight, so that the angle between two texts, and with it the number of different bits, follows the similarity of step 3
+   and not the longest word: at 0.8 it is 27 degrees, 10 bits of 64. Within RADIUS bits of 64, one of BLOCKS
    blocks differs in at most RADIUS // BLOCKS bits; items are filed under all such neighbours of each of
    their blocks, windows look up their blocks. So every pair within RADIUS is found, for all items and not
    only those that laid the window.
@@ -25,6 +27,7 @@ of either kind gives no rows. Other columns are not read by ``leaks``, and kept
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -34,9 +37,10 @@ from vacantis.functions.text import let
 from vacantis.session import stored
 
 SIZE, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS = 15, 4
-# Up to so many rows (about 16 bytes each) an item table is broadcast, beyond it is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+# Seeds of the fingerprints. A pair at just 0.8 lies beyond RADIUS once in forty times, in both once in 1,600.
+RADIUS, BLOCKS, PRINTS = 15, 4, (0, 1)
+# Up to so many rows (some 150 bytes each, as measured) an item table is broadcast, beyond it is joined by shuffle.
+BROADCAST_ROWS = 400_000
 
 C = F.col
 
@@ -69,9 +73,11 @@ def weighted(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(words) - SIZE), gram)
 
 
-def simhash(df: DataFrame, key: list[str], grams: str) -> DataFrame:
-    """``key`` and the fingerprint: for each bit, the weights of 5-grams with it against those without."""
-    rows = df.select(*key, F.explode(grams).alias("g")).select(*key, F.xxhash64("g.gram").alias("hash"), "g.weight")
+def simhash(df: DataFrame, key: list[str], grams: str, seed: int = 0) -> DataFrame:
+    """``key`` and the fingerprint: for each bit, the roots of weights of 5-grams with it against those without."""
+    rows = df.select(*key, F.explode(grams).alias("g")).select(
+        *key, F.xxhash64("g.gram", F.lit(seed)).alias("hash"), F.sqrt("g.weight").alias("weight")
+    )
     bits = [
         F.sum(F.when(F.shiftright("hash", b).bitwiseAND(1) == 1, C("weight")).otherwise(-C("weight"))).alias(f"b{b}")
         for b in range(64)
@@ -117,9 +123,19 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = stored(places.select("gram").distinct(), "item-grams")
     read = docs.select(keyed(docs).alias("doc"), gram_hashes(words_of(C("text"))).alias("grams"))
     grams = read.select("doc", (F.size("grams") + (SIZE - 1)).alias("n_words"), F.posexplode("grams").alias("place", "gram"))
-    start = C("place") - C("at")
+    hits = stored(grams.join(few(wanted), "gram").join(few(places), "gram").select("doc", "n_words", "n", "place", "at"), "hits")
+    spots = hits.select("doc", "n_words", "n", "place").distinct()
+
+    def without_neighbour(step: int) -> DataFrame:
+        return spots.join(spots.select("doc", "n", (C("place") + step).alias("place")), ["doc", "n", "place"], "left_anti")
+
+    starts = [
+        hits.withColumn("start", C("place") - C("at")), without_neighbour(1).withColumn("start", C("place")),
+        without_neighbour(-1).withColumn("start", C("place") + SIZE - C("n")),
+    ]
+    start = C("start")
     laid = stored(
-        grams.join(few(wanted), "gram").join(few(places), "gram")
+        reduce(DataFrame.unionByName, [s.select("doc", "n_words", "n", "start") for s in starts])
         .select("doc", F.greatest(start, F.lit(0)).alias("first"), F.least(start + C("n"), "n_words").alias("end"), "n")
         .distinct(), "windows",
     )
@@ -161,9 +177,11 @@ def found_leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     known = prepared(items)
     laid = windows(docs, known)
     item_grams = known.select("item", "item_id", "n", weighted(C("words")).alias("item_grams"))
-    prints = stored(simhash(laid, ["doc", "first", "n"], "grams"), "window-prints")
-    item_prints = stored(simhash(item_grams, ["item", "n"], "item_grams"), "item-prints")
-    pairs = candidates(prints, item_prints).join(laid, ["doc", "first", "n"]).join(item_grams.drop("n"), "item")
+    near = []
+    for seed in PRINTS:
+        prints = stored(simhash(laid, ["doc", "first", "n"], "grams", seed), "window-prints")
+        near.append(candidates(prints, stored(simhash(item_grams, ["item", "n"], "item_grams", seed), "item-prints")))
+    pairs = reduce(DataFrame.union, near).distinct().join(laid, ["doc", "first", "n"]).join(item_grams.drop("n"), "item")
     judged = pairs.select("doc", "item_id", "first", "n", similarity(C("grams"), C("item_grams")).alias("similarity"))
     best = F.max(F.struct("similarity", (-C("first")).alias("before"), "n")).alias("best")
     return judged.filter(C("similarity") >= least - 1e-9).groupBy("doc", "item_id").agg(best).select(
@@ -180,5 +198,6 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataF
 
 def clean(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
-    leaking = stored(found_leaks(docs, items, least).select(C("doc").alias("leaking")).distinct(), "leaking")
-    return docs.join(few(leaking), keyed(docs) == C("leaking"), "left_anti")
+    leaking = stored(found_leaks(docs, items, least).select("doc").distinct(), "leaking")
+    name = "leaking" + "_" * max(map(len, docs.columns), default=0)  # longer than any name in docs
+    return docs.join(few(leaking.select(C("doc").alias(name))), keyed(docs) == C(name), "left_anti")
