@@ -60,6 +60,23 @@ def test_tags_in_text():
     assert licences.scan("Licensed under the Apache License, Version 2.0.")[5:] == ("apache", 1.0)
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("licensed under a clear sky. SPDX-License-Identifier: ISC", "isc"),
+    ("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0", "gpl,mit"),
+    ("SPDX-License-Identifier: LGPL-3.0-only WITH LGPL-3.0-linking-exception", "lgpl"),
+    ("SPDX-License-Identifier: MIT this file is short", "mit"), ("SPDX-License-Identifier: MIT.", "mit"),
+    ("SPDX-License-Identifier: MIT OR", "mit"), ("SPDX-License-Identifier: (MIT OR ISC", "unknown-expression"),
+    ("SPDX-License-Identifier: MIT AND (ISC OR", "mit"), ("SPDX-License-Identifier: x AND MIT", "unknown-expression"),
+    ("License-Expression: mit with\nSPDX License Identifier: isc", "isc,mit"), ("SPDX-License-Identifier:", "unknown-expression"),
+])
+def test_every_tag_of_a_line(text, labels):
+    assert licences.scan(text)[5] == labels
+
+
+def test_a_long_expression_is_read_once():
+    assert licences.scan("SPDX-License-Identifier: " + "(MIT AND ISC) OR " * 50_000 + "x")[5:] == ("isc,mit", 1.0)
+
+
 def test_odd_rows(spark, odd, none):
     got = licences.scan_licences(odd).collect()
     assert sorted((r.n_words, r.n_base) for r in got) == sorted(base(r.text)[:2] for r in odd.collect())

@@ -9,8 +9,11 @@ The score says how freely a text may be used: 1 freely, 0 not at all, 0.5 withou
 expression takes the largest value of alternatives and the smallest of joint terms; an exception raises
 a term by EXCEPTION_GAIN. A text takes the smallest of its findings.
 
-Defined cases: a null or empty text has no words and no labels. A tag whose expression does not parse
-or names no known licence gives the label ``unknown-expression`` and does not count for the score.
+An expression ends where its line or the next tag begins, and is read as far as it is well formed and names
+known licences ("MIT this file" is MIT). What follows ``with`` is an exception, whatever it is called.
+
+Defined cases: a null or empty text has no words and no labels. A tag without an expression that begins with a known licence
+gives the label ``unknown-expression`` and does not count for the score.
 Repeated rows, ties and null ids are rows like others; other columns are not read.
 """
 
@@ -103,7 +106,7 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
             continue
         (left, a, name), (right, b, _) = held[-2], held[-1]
         del held[-2:]
-        if a is None or (b is None) != (part == "with"):
+        if a is None or (b is None and part != "with"):
             return None
         if part == "with":
             held.append((left, min(1.0, a + EXCEPTION_GAIN), name))
@@ -125,17 +128,46 @@ def automaton():
 
 @lru_cache(maxsize=1)
 def tag_places() -> re.Pattern[str]:
-    """A tag as it is written, with the rest of its line."""
+    """A tag as it is written."""
     spelt = "|".join("[^a-z0-9\n]+".join(tag.split()) for tag in TAGS)
-    return re.compile(rf"(?:^|(?<=[^a-z0-9]))(?:{spelt})[:\s]([^\n]*)")
+    return re.compile(rf"(?:^|(?<=[^a-z0-9]))(?:{spelt})(?=[:\s])")
+
+
+def beginning(parts: list[str]) -> list[str]:
+    """The longest beginning that is a well-formed expression of known licences."""
+    end = depth = 0
+    operand = exception = False
+    for i, part in enumerate(parts):
+        if part in PRECEDENCE:
+            if not operand:
+                break
+            operand, exception = False, part == "with"
+            continue
+        if part == "(":
+            if operand or exception:
+                break
+            depth += 1
+            continue
+        if part == ")":
+            if not (operand and depth):
+                break
+            depth -= 1
+        elif operand or not (exception or label_of(part)):
+            break
+        operand, exception = True, False
+        if not depth:
+            end = i + 1
+    return parts[:end]
 
 
 def expressions(text: str) -> list[tuple[set[str], float]]:
     """What the tags of a text say, in order. Prose after "licensed under" is no faulty expression."""
     found = []
-    for m in tag_places().finditer(text):
-        rest = SPOKEN.match(m[1].strip(" :*/#-"))
-        value = evaluate(rest[0].rstrip(" .")) if rest else None
+    places = list(tag_places().finditer(text))
+    for m, after in zip(places, [*[x.start() for x in places[1:]], len(text)], strict=True):
+        rest = SPOKEN.match(text[m.end() : after].split("\n", 1)[0].strip(" \t:*/#-"))
+        parts = [p for x in PART.findall(rest[0]) if (p := x.rstrip(".-") or x)] if rest else []
+        value = evaluate(" ".join(beginning(parts)))
         if value:
             found.append(value)
         elif not m[0].startswith("licensed"):
