@@ -83,6 +83,23 @@ def test_matching_by_index(spark):
     assert got == {"u1": "block", "u2": "allow", "u4": "block"}
 
 
+def test_a_hot_long_url_ends(spark):
+    hot = "http://hot.org/" + "/".join(f"part{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)) + "?q=1"
+    rows = [(i, hot) for i in range(60)] + [(60 + i, f"http://h{i % 7}.org/{'bad' if i % 2 else 'good'}/p{i}x") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 60 or i % 2 == 1) for i, _ in rows], "page_id long, blocked boolean")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels, min_support=0.05).collect()}
+    assert all(got[i] == "block" for i in range(60)) and [got[60 + i] for i in range(4)] == ["allow", "block"] * 2
+
+
+def test_planted_rule_reaches_unlabelled_pages(spark):
+    rows = [(i, f"http://site{i % 9}.org/{('casino', 'news')[i % 2]}/x{i}y") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(0, 200)], "page_id long, blocked boolean")
+    for r in url_rules.judge(pages, labels).collect():
+        assert r.verdict == ("block" if r.page_id % 2 == 0 else "allow") and r.confidence is not None
+
+
 def test_odd_rows(spark):
     rows = [(i, u, "x", 1.0) for i, u in enumerate(URLS)] + [(None, "http://x.org/a", "x", 1.0)] * 3 + [(5, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, rule string, confidence double")

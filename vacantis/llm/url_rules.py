@@ -7,8 +7,9 @@ combination already says so as surely. A URL is judged by the surest rule it hol
 else by the default. Rules are found by an inverted index: each is filed under its rarest token, and a
 URL's tokens look up their files.
 
-Mining and matching run over distinct URLs with their number of pages, so a URL that is repeated without
-end is one row. Defined cases: a null URL, or one without ``://``, has empty host and path, no tokens,
+Tokens that occur in just the same labelled URLs say the same; they are folded into one item before mining, and
+any of them stands for it in matching. So a long URL, however often it is repeated, adds one item of its own
+and no 2^k combinations. Mining runs over labelled pages, matching over distinct URLs. Defined cases: a null URL, or one without ``://``, has empty host and path, no tokens,
 no rule, and the default verdict. Labels of one page that differ count as block. Pages without labels are
 judged but teach nothing; without any labels there are no mined rules. Repeated rows and null ids are
 rows like others; other columns are not read.
@@ -39,8 +40,8 @@ RULES = [
     Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
     Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"),
 ]
-# A combination must be on so large a share of labelled pages, and on so many of them.
-MIN_SUPPORT, LEAST_PAGES, MIN_CONFIDENCE, DEFAULT = 0.005, 20, 0.8, "allow"
+# A combination must be on so large a share of labelled pages.
+MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.005, 0.8, "allow"
 LABEL = "="  # begins the items that are labels, as no token does
 # Up to so many mined rules (about 200 bytes each) the index is broadcast, beyond it is joined by shuffle.
 BROADCAST_RULES = 50_000
@@ -88,14 +89,28 @@ def parsed(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     return rows.select("*", name.alias("rule"), verdict.alias("stated"))
 
 
+def folded(urls: DataFrame) -> DataFrame:
+    """(token, item) of the tokens of distinct (url, tokens) rows: tokens of the same URLs share an item; stored."""
+    held = urls.select("url", F.explode("tokens").alias("token"))
+    # two hashes of the set of URLs, 128 bits
+    of_token = held.groupBy("token").agg(*[F.bit_xor(F.xxhash64("url", F.lit(seed))).alias(f"urls{seed}") for seed in (0, 1)])
+    item = of_token.groupBy("urls0", "urls1").agg(F.min("token").alias("item"))
+    return stored(of_token.join(item, ["urls0", "urls1"]).select("token", "item"), "items")
+
+
+def as_items(urls: DataFrame, items: DataFrame) -> DataFrame:
+    """(url, tokens) with the items of the tokens; tokens without one are left out, and urls without any."""
+    held = urls.select("url", F.explode("tokens").alias("token"))
+    return held.join(items, "token").groupBy("url").agg(F.collect_set("item").alias("tokens"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule_id, antecedent, verdict, confidence, support, token) from (tokens, verdict) rows.
 
     ``token`` is the antecedent's rarest, under which the rule is filed.
     """
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
-    share = min(1.0, max(min_support, LEAST_PAGES / max(1, items.count())))
-    model = FPGrowth(minSupport=share, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(items)
     is_label = F.col("consequent")[0].startswith(LABEL)
     found = stored(
         model.associationRules.filter(is_label & ~F.exists("antecedent", lambda x: x.startswith(LABEL))).select(
@@ -143,10 +158,14 @@ def judge(
     known = labels.filter(F.col("blocked").isNotNull()).groupBy("page_id").agg(F.max("blocked").alias("blocked"))
     verdict = F.coalesce("stated", F.when(F.col("blocked"), "block").when(~F.col("blocked"), "allow"))
     token_set = tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")
-    labelled = rows.join(known, "page_id", "left").select(token_set, verdict.alias("verdict")).filter("verdict is not null")
-    mined_rules = mine(labelled, min_support, min_confidence)
+    labelled = stored(rows.join(known, "page_id", "left").select("url", verdict.alias("verdict"), token_set).filter("verdict is not null"), "labelled")
+    of_url = labelled.select("url", "tokens").distinct()
+    items = folded(of_url)
+    taught = labelled.drop("tokens").join(as_items(of_url, items), "url", "left")
+    none = F.array().cast("array<string>")
+    mined_rules = mine(taught.select(F.coalesce("tokens", none).alias("tokens"), "verdict"), min_support, min_confidence)
     open_urls = rows.filter("rule is null").select("url", "host", "path").distinct().select("url", token_set)
-    mined = mined_verdicts(open_urls, mined_rules)
+    mined = mined_verdicts(as_items(open_urls, items), mined_rules)
     return rows.join(mined, "url", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("stated", "mined", F.lit(DEFAULT)).alias("verdict"),
         F.when(F.col("rule").isNull(), F.col("confidence")).alias("confidence"),
