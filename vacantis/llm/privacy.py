@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +55,9 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-WORD = re.compile(r"[^\W_]+")
-# The same words in the JVM; there they are only counted.
-WORD_JVM = r"[\p{L}\p{N}\p{M}]+"
+# One rule for words, here and in the JVM, where they are only counted.
+WORDS = r"[\p{L}\p{N}\p{M}]+"
+WORD = regex.compile(WORDS)
 DIGITS = re.compile(r"[^0-9]+")
 
 Span = tuple[str, int, int]
@@ -168,10 +169,10 @@ def disclosing_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(kind, term, disclosure) of the terms that disclose a kind; counted over all ``texts``."""
     near = stored(near_places(found).groupBy("kind", "term").agg(F.count("*").alias("n_near")), "near")
     terms = stored(near.select("term").distinct(), "terms")
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_JVM), F.lit(0))).alias("term"))
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("term"))
     # counted before the join: the list of terms may be too long to broadcast
     counts = stored(_joined(words.groupBy("term").agg(F.count("*").alias("n")), terms, ["term"], "left_semi"), "term-counts")
-    n_words = texts.select(F.regexp_count(F.col("text"), F.lit(WORD_JVM)).cast("long").alias("n")).agg(F.sum("n").alias("words"))
+    n_words = texts.select(F.regexp_count(F.col("text"), F.lit(WORDS)).cast("long").alias("n")).agg(F.sum("n").alias("words"))
     share = near.groupBy("kind").agg((F.sum("n_near") / n_words.scalar()).alias("p"))
     given_term = F.least(F.col("n_near") / F.col("n"), F.lit(1.0))
     return (
