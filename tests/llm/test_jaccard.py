@@ -146,3 +146,9 @@ def test_compare_counts_a_pair_in_its_first_band():
     })
     first, second = (jaccard.compare(tuple(map(pa.scalar, (b, 0, 0))), table, 0.8).to_pylist() for b in (5, 9))
     assert [(r["hi"], r["n"], r["to_hi"]) for r in first] == [(1, 1, 1), (2, 1, 1)] and second == []
+
+
+def test_minus_one_and_no_id_are_different_rows(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(-1, text), (None, text), (-1, text)], "doc_id long, text string")
+    assert jaccard.keep_one(docs).count() == 1

@@ -227,7 +227,7 @@ def classes(docs: DataFrame, similarity: float, recall: float, most_hashes: int)
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; rows without words all stay."""
     found = stored(classes(docs, similarity, RECALL, MOST_HASHES).filter("class_node is not null"), "classes")
-    one = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text_key")
+    one = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key")
     # equal rows cannot be told apart: their number decides how they are kept
     rows = found.withColumn("one", one).groupBy("class_node", "one").agg(F.count("*").alias("n"))
     first = rows.groupBy("class_node").agg(F.min("one").alias("kept"))
@@ -236,10 +236,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             "one.*", "n", F.col("kept").isNotNull().alias("stays")
         ), "judged",
     )
-    key = [F.coalesce(docs["doc_id"], F.lit(-1)), F.xxhash64(docs["text"])]
-    gone = judged.filter(~F.col("stays") | (F.col("n") > 1)).select("id", "text_key")
-    again = judged.filter(F.col("stays") & (F.col("n") > 1)).select("id", "text_key")
-    on = lambda other: (key[0] == other["id"]) & (key[1] == other["text_key"])
+    key = {"id": F.coalesce(docs["doc_id"], F.lit(-1)), "no_id": docs["doc_id"].isNull(), "text_key": F.xxhash64(docs["text"])}
+    gone = judged.filter(~F.col("stays") | (F.col("n") > 1)).select(*key)
+    again = judged.filter(F.col("stays") & (F.col("n") > 1)).select(*key)
+    on = lambda other: [c == other[name] for name, c in key.items()]
     kept = docs.join(few(gone), on(gone), "left_anti")
     if again.isEmpty():
         return kept
