@@ -152,8 +152,16 @@ def similarity(a: Column, b: Column) -> Column:
     def total(grams: Column, gram: Column) -> Column:
         return F.aggregate(grams, F.lit(0), lambda s, x: s + F.when(x["gram"] == gram, x["weight"]).otherwise(0))
 
-    names = F.array_distinct(F.transform(a, lambda x: x["gram"]))
-    shared = F.aggregate(names, F.lit(0), lambda s, g: s + F.least(total(a, g), total(b, g)))
+    def names(grams: Column) -> Column:
+        return F.transform(grams, lambda x: x["gram"])
+
+    def single(grams: Column) -> Column:
+        return F.size(F.array_distinct(names(grams))) == F.size(grams)
+
+    # where no gram occurs twice, those of both lists are looked up by hash
+    once = F.aggregate(F.array_intersect(names(a), names(b)), F.lit(0), lambda s, g: s + F.length(g) - (SIZE - 1))
+    often = F.aggregate(F.array_distinct(names(a)), F.lit(0), lambda s, g: s + F.least(total(a, g), total(b, g)))
+    shared = F.when(single(a) & single(b), once).otherwise(often)
     whole = F.aggregate(F.concat(a, b), F.lit(0), lambda s, x: s + x["weight"])
     return let(shared, lambda x: x / (whole - x))
 
