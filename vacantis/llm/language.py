@@ -20,7 +20,7 @@ language, then to the first by name. Repeated rows and null ids are rows like ot
 from __future__ import annotations
 
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,8 +39,8 @@ MOST_LETTERS = 4
 MOST_WORDS, MOST_GRAMS = 150_000, 150_000
 # Added to every count.
 SMOOTHING = 0.5
-# Entries of a counter in a task before it is handed on; words a worker keeps beside the model.
-HELD, KEPT = 1 << 18, 1 << 16
+# Entries of a task's counters before they are handed on.
+HELD = 1 << 18
 # Counts from this number on are one step of the histogram.
 TOP_STEP = 50_000
 UNKNOWN = "und"
@@ -60,29 +60,28 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def grams_of(word: str) -> Iterator[str]:
+def grams_of(word: str) -> list[str]:
     """All n-grams of a word, with a blank at both ends, the blank alone left out."""
     padded = f" {word} "
-    for n in range(1, MOST_LETTERS + 1):
-        for i in range(len(padded) - n + 1):
-            if padded[i : i + n] != " ":
-                yield padded[i : i + n]
+    return [*word, *[padded[i : i + n] for n in range(2, MOST_LETTERS + 1) for i in range(len(padded) - n + 1)]]
 
 
 def _counted(batches: Iterator[pa.RecordBatch], entries, types: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Sums of what ``entries`` yields for each batch, handed on whenever HELD are together."""
+    """Sums by language of what ``entries`` adds for each batch, handed on whenever HELD are together."""
 
     def out() -> pa.RecordBatch:
-        keys = list(held)
-        columns = [[k[0] for k in keys], [k[1] for k in keys], list(held.values())]
+        columns = [
+            [lang for lang, own in held.items() for _ in own], [x for own in held.values() for x in own],
+            [n for own in held.values() for n in own.values()],
+        ]
+        held.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
-    held: Counter = Counter()
+    held: defaultdict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         entries(batch, held)
-        if len(held) >= HELD:
+        if sum(map(len, held.values())) >= HELD:
             yield out()
-            held.clear()
     if held:
         yield out()
 
@@ -90,10 +89,9 @@ def _counted(batches: Iterator[pa.RecordBatch], entries, types: pa.Schema) -> It
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) over all rows with a language."""
 
-    def entries(batch: pa.RecordBatch, held: Counter) -> None:
+    def entries(batch: pa.RecordBatch, held: defaultdict[str, Counter]) -> None:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            for word, n in Counter(words_of(text)).items():
-                held[lang, word] += n
+            held[lang].update(words_of(text))
 
     types = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
     rows = texts_of(docs.filter(F.col("lang").isNotNull()), "lang")
@@ -104,10 +102,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, gram, n) of the counted words."""
 
-    def entries(batch: pa.RecordBatch, held: Counter) -> None:
+    def entries(batch: pa.RecordBatch, held: defaultdict[str, Counter]) -> None:
         for lang, word, n in zip(*[batch[c].to_pylist() for c in ("lang", "word", "n")], strict=True):
+            own = held[lang]
             for gram in grams_of(word):
-                held[lang, gram] += n
+                own[gram] += n
 
     types = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
     parts = in_arrow(words, lambda batches: _counted(batches, entries, types), "lang string, gram string, n long")
@@ -158,40 +157,36 @@ def fit(docs: DataFrame, allowed: Column) -> Model:
 
 
 class Reader:
-    """A model in a worker, with the sums of unseen words that it met."""
+    """A model in a worker."""
 
     def __init__(self, model: Model):
         self.languages, self.prior, self.scores = model.languages, model.prior, model.scores
         self.known = {w: i for i, w in enumerate(model.words)}
         self.grams = {g: i + len(model.words) for i, g in enumerate(model.grams)}
-        self.met: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Backing off: at each place the longest known n-gram."""
-        found = self.met.get(word)
-        if found is None:
-            padded, rows, shares = f" {word} ", [], []
-            for i in range(len(padded)):
-                for n in range(min(MOST_LETTERS, len(padded) - i), 0, -1):
-                    row = self.grams.get(padded[i : i + n])
-                    if row is not None:
-                        rows.append(row)
-                        shares.append(1 / n)
-                        break
-            found = np.array(shares, "f4") @ self.scores[rows] if rows else np.zeros(len(self.languages), "f4")
-            if len(self.met) >= KEPT:
-                self.met.clear()
-            self.met[word] = found
-        return found
+
+    def back_off(self, word: str) -> Iterator[tuple[int, int]]:
+        """At each place of an unseen word the row and length of the longest known n-gram."""
+        padded, grams = f" {word} ", self.grams
+        for i in range(len(padded)):
+            for n in range(MOST_LETTERS, 0, -1):
+                row = grams.get(padded[i : i + n])
+                if row is not None:
+                    yield row, min(n, len(padded) - i)
+                    break
 
     def judge(self, text: str) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
         rows = list(map(self.known.get, words))
-        sums = self.prior + self.scores[[r for r in rows if r is not None]].sum(0, dtype="f8")
-        for word, n in Counter(w for w, r in zip(words, rows, strict=True) if r is None).items():
-            sums += n * self.unseen(word)
+        unseen = [w for w, r in zip(words, rows, strict=True) if r is None] if None in rows else []
+        if unseen:
+            rows = [r for r in rows if r is not None]
+        sums = self.prior + self.scores[rows].sum(0, dtype="f8")
+        found = [(row, m / n) for word, m in Counter(unseen).items() for row, n in self.back_off(word)]
+        if found:
+            at, shares = zip(*found, strict=True)
+            sums += np.array(shares) @ self.scores[list(at)]
         best = max(range(len(sums)), key=lambda i: (sums[i], self.prior[i], -i))
         return self.languages[best], float(1 / np.exp(sums - sums[best]).sum())
 
