@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Rows and bytes of text that are worked on together; only memory depends on them.
-ROWS, TEXT_BYTES = 2048, 4 << 20
+ROWS, TEXT_BYTES = 2048, 2 << 20
+# Rows that Spark hands over at once; its default of 10,000 is for numbers, not for whole texts.
+HANDED_OVER, SETTING = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 _table: dict[str, object] = {}
@@ -45,10 +48,31 @@ def _ship(application: str) -> None:
     SparkContext.getOrCreate().addPyFile(archive)
 
 
+def give_back() -> None:
+    """Return memory that is free in this process to the system; a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with this package's modules at hand in the workers."""
+    """``mapInArrow`` with this package's modules at hand in the workers, which return memory when a task ends.
+
+    The session's Arrow batches are made smaller (to HANDED_OVER rows) unless they are so already.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(SETTING)) <= HANDED_OVER:
+        conf.set(SETTING, HANDED_OVER)
     _ship(df.sparkSession.sparkContext.applicationId)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def texts_of(docs: DataFrame, *columns: str) -> DataFrame:

@@ -20,8 +20,8 @@ PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_SPACE = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace() and chr(i) not in " \t\n\r"]
 OTHER_ASCII = [c for c in OTHER_SPACE if c.isascii()]
 SLOW = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
-# Entries of the table, and the longest piece that it keeps.
-KEPT, KEPT_CHARS = 1 << 19, 48
+# Bytes of the table (an entry counts its letters, its ids and ENTRY_BYTES), and the longest piece that it keeps.
+KEPT_BYTES, ENTRY_BYTES, KEPT_CHARS = 64 << 20, 150, 48
 
 
 def pieces(text: str) -> list[str]:
@@ -46,6 +46,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.mark: tuple[int, str] | None = None
         added = self.tokenizer.get_added_tokens_decoder()
         self.stops = {c: self.new_ids([c])[0] for c in ".,"}
@@ -77,8 +78,10 @@ class Encoder:
         found = self.ids_of({flat[i] for i in missing})
         for i in missing:
             ids[i] = found[flat[i]]
-        if len(self.known) < KEPT:
-            self.known.update((x, y) for x, y in found.items() if len(x) <= KEPT_CHARS)
+        if self.held < KEPT_BYTES:
+            new = {x: y for x, y in found.items() if len(x) <= KEPT_CHARS}
+            self.known.update(new)
+            self.held += sum(len(x) + len(y) + ENTRY_BYTES for x, y in new.items())
         end, at, joined = np.asarray([end_id], "<u4").tobytes(), 0, []
         for n in n_pieces:
             joined += [b"".join(ids[at : at + n]), end]
