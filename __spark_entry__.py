@@ -89,6 +89,12 @@ def _task_progress(spark: SparkSession, d: str) -> DataFrame:
     return progress.task_progress_of(progress.with_declared(states, b.declared_of(states)))
 
 
+def _task_status(spark: SparkSession, d: str) -> DataFrame:
+    states = progress.states_with_position(b.progress(spark, d))
+    status = progress.task_status_of(progress.with_declared(states, b.declared_of(states)))
+    return _json(status, "queued_sources", "sources")
+
+
 # --- sources and sinks -------------------------------------------------------
 
 def s3_declared_schema(spark: SparkSession, d: str) -> DataFrame:
@@ -244,6 +250,7 @@ def queries() -> dict[str, Query]:
     q["a11_skill_month_counts"] = _jobs(counts.skill_month_counts)
     q["a12_skill_month_counts_all"] = _jobs(counts.skill_month_counts_all)
     q["a13_ingest_progress"] = _task_progress
+    q["a13_task_status"] = _task_status
     q["a14_source_progress"] = lambda spark, d: progress.source_progress(b.progress(spark, d))
     q["a15_overview"] = _jobs(overview.overview)
     q["a15_overview_filtered"] = _jobs(lambda j: overview.overview(j, source="5-LOW", top_n=20))

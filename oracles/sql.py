@@ -364,6 +364,21 @@ O["a13_ingest_progress"] = q(
     base="progress_events",
 )
 O["t3_stream_progress"] = O["a13_ingest_progress"]
+SHARE = ("CASE WHEN status = 'completed' THEN 100.0::DOUBLE WHEN total_jobs > 0 THEN round_even(processed_jobs / total_jobs * 100.0, 2) "
+         "WHEN status = 'error' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END")
+O["a13_task_status"] = q(
+    "SELECT p.*, started_at, updated_at, queued_sources, sources, 'Procesando fuente: ' || newest_source AS message "
+    f"FROM ({O['a13_ingest_progress']}) p JOIN (SELECT task_id, min(first_ts) AS started_at, "
+    "CAST(to_json(list(source ORDER BY source)) AS VARCHAR) AS queued_sources, "
+    "CAST(to_json(map_from_entries(list({'k': source, 'v': {'status': status, 'processed_jobs': processed_jobs, 'total_jobs': total_jobs, "
+    f"'saved_jobs': saved_jobs, 'progress_pct': {SHARE}, 'message': message}}}} ORDER BY source))) AS VARCHAR) AS sources "
+    "FROM all_states GROUP BY task_id) s ON s.task_id = p.task_id JOIN (SELECT task_id, max(ts) AS updated_at, "
+    "last(source ORDER BY ts, event_id) AS newest_source FROM progress_events GROUP BY task_id) e ON e.task_id = p.task_id",
+    *STATES,
+    ("all_states", "SELECT task_id, source, status, processed_jobs, total_jobs, saved_jobs, message, first_ts FROM states UNION ALL "
+                   "SELECT DISTINCT task_id, 'archive', 'queued', 0, 0, 0, 'Pendiente', NULL::TIMESTAMP FROM states WHERE task_id % 5 = 3"),
+    base="progress_events",
+)
 
 
 def overview(where: str, top_n: int) -> str:

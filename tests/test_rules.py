@@ -149,3 +149,13 @@ def test_hangul_is_taken_apart(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip_accents(F.col("t")).alias("f")).collect()
     for r in rows:
         assert r.f == "".join(c for c in unicodedata.normalize("NFD", r.t) if unicodedata.category(c) != "Mn")
+
+
+def test_cities_are_found_at_any_place_in_list_order(spark):
+    folded = [text._fold(c.lower()) for c in fixed.KNOWN_CITIES]
+    texts = [a + b for a in folded for b in ("", "x", " " + folded[0], folded[7])] + ["", None, "b", "calcali", "san", "Bogot\u00e1 d.c. o Cali"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.city for r in rows.select("t", text.gazetteer_match(F.col("t")).alias("city")).collect()}
+    for t in texts:
+        plain = text._fold((t or "").lower())
+        assert got[t] == next((c for c, k in zip(fixed.KNOWN_CITIES, folded, strict=True) if k in plain), None)

@@ -1,5 +1,7 @@
 """Streams over several files give the batch result."""
 
+from datetime import datetime
+
 import pytest
 
 from vacantis.operators import progress, upsert
@@ -91,3 +93,25 @@ def test_declared_sources_without_events_are_queued(spark):
     declared = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "task_id long, source string")
     got = {r.task_id: (r.status, r.total_sources, r.completed_sources, r.progress_pct) for r in progress.ingest_progress(events, declared).collect()}
     assert got == {1: ("running", 2, 1, 100.0), 2: ("queued", 1, 0, 0.0)}
+
+
+def test_task_status_shows_every_source(spark):
+    event = "task_id long, source string, ts timestamp_ntz, event_id long, status string, processed_jobs int, total_jobs int, saved_jobs int, message string"
+    at = lambda day: datetime(2024, 1, day)
+    events = spark.createDataFrame([
+        (1, "b", at(1), 1, "running", 1, 4, 1, "m1"), (1, "a", at(2), 2, "running", 0, 0, 0, None),
+        (1, "b", at(3), 3, "running", 3, 4, 2, "m3"), (1, "a", at(3), 4, "error", 0, 0, 0, "broken"),
+    ], event)
+    declared = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "task_id long, source string")
+    status = progress.task_status(events, declared)
+    assert status.columns == progress.STATUS
+    one, two = status.orderBy("task_id").collect()
+    assert (one.status, one.message, one.queued_sources) == ("running", "Procesando fuente: a", ["a", "b", "c"])
+    assert (one.current_source, one.started_at, one.updated_at, one.progress_pct) == ("b", at(1), at(3), 75.0)
+    assert {k: tuple(v) for k, v in one.sources.items()} == {
+        "a": ("error", 0, 0, 0, 100.0, "broken"), "b": ("running", 3, 4, 2, 75.0, "m3"), "c": ("queued", 0, 0, 0, 0.0, "Pendiente"),
+    }
+    assert (two.status, two.message, two.started_at, two.updated_at) == ("queued", "Scraping encolado", None, None)
+    assert tuple(two.sources["a"]) == ("queued", 0, 0, 0, 0.0, "Pendiente")
+    assert status.where("task_id = 1").select("processed_jobs").first() == progress.ingest_progress(events, declared).where("task_id = 1").select("processed_jobs").first()
+    assert progress.task_status(events.limit(0)).isEmpty()

@@ -201,3 +201,8 @@ MONTHS_AHEAD = (1, 12)
 TEST_MONTHS = (1, 6)
 RECENT_LIMIT = 5000
 TOP_CITIES = 5
+
+# --- fixed values: messages of a task ----------------------------------------
+TASK_QUEUED = "Scraping encolado"
+TASK_RUNNING = "Procesando fuente: "
+SOURCE_QUEUED = "Pendiente"

@@ -5,6 +5,7 @@ Everything stays a built-in expression, so the rules run inside the JVM.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -199,11 +200,23 @@ def normalize_location(c: Column) -> Column:
     return non_empty(F.trim(F.regexp_replace(c, f"{SPACE}+", " ")))
 
 
+def _names_at_once(names: list[str]) -> str:
+    """A pattern that catches, at every place of a text, the first name in list order that begins there.
+
+    Names are grouped by their first letter, so a place is tried against one group only.
+    """
+    rests: dict[str, list[str]] = {}
+    for name in names:
+        rests.setdefault(name[0], []).append(re.escape(name[1:]))
+    return "(?=(" + "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in rests.items()) + "))"
+
+
 def known_city(folded: Column) -> Column:
-    """First known city, in list order, contained in an already folded text."""
-    keys = literal_array([_fold(city.lower()) for city in fixed.KNOWN_CITIES])
-    contained = F.transform(keys, lambda key: F.contains(folded, key))
-    return F.get(literal_array(fixed.KNOWN_CITIES), F.array_position(contained, True).cast("int") - 1)
+    """First known city, in list order, contained in an already folded text; the text is read once."""
+    names = [_fold(city.lower()) for city in fixed.KNOWN_CITIES]
+    found = F.regexp_extract_all(folded, F.lit(_names_at_once(names)), F.lit(1))
+    first = F.array_min(F.transform(found, lambda name: F.array_position(literal_array(names), name)))
+    return F.get(literal_array(fixed.KNOWN_CITIES), first.cast("int") - 1)
 
 
 def gazetteer_match(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantis import fixed_values as fixed
+
 FINISHED = ["completed", "error"]
 COUNTERS = ["processed_jobs", "total_jobs", "saved_jobs"]
 
@@ -53,7 +55,7 @@ def with_declared(states: DataFrame, declared: DataFrame | None) -> DataFrame:
     if declared is None:
         return states
     silent = declared.select("task_id", "source").distinct().join(states, ["task_id", "source"], "left_anti")
-    zero = {c: F.lit(0) for c in COUNTERS} | {"status": F.lit("queued"), "message": F.lit("Pendiente")}
+    zero = {c: F.lit(0) for c in COUNTERS} | {"status": F.lit("queued"), "message": F.lit(fixed.SOURCE_QUEUED)}
     return states.unionByName(silent.withColumns(zero), allowMissingColumns=True)
 
 
@@ -61,25 +63,28 @@ def _share(part: Column, whole: Column) -> Column:
     return F.bround(part / whole * 100.0, 2)
 
 
-def source_progress_of(states: DataFrame) -> DataFrame:
+def _source_share() -> Column:
     """Percentage per (task, source): completed is 100, a failed empty source too."""
     total = F.col("total_jobs")
-    pct = (
+    return (
         F.when(F.col("status") == "completed", F.lit(100.0))
         .when(total > 0, _share(F.col("processed_jobs"), total))
         .when(F.col("status") == "error", F.lit(100.0))
         .otherwise(F.lit(0.0))
     )
-    return states.withColumn("progress_pct", pct).drop("started")
+
+
+def source_progress_of(states: DataFrame) -> DataFrame:
+    return states.withColumn("progress_pct", _source_share()).drop("started")
 
 
 def source_progress(events: DataFrame) -> DataFrame:
     return source_progress_of(latest_states(events))
 
 
-def task_progress_of(states: DataFrame) -> DataFrame:
+def task_progress_of(states: DataFrame, *more: Column) -> DataFrame:
     """Totals, share and overall status per task; the current source is the running one
-    that started first."""
+    that started first. ``more`` are further aggregates over the sources of a task."""
     finished = F.col("status").isin(FINISHED)
     running = F.when(F.col("status") == "running", F.struct("started", "source"))
     tasks = states.groupBy("task_id").agg(
@@ -89,6 +94,7 @@ def task_progress_of(states: DataFrame) -> DataFrame:
         F.min(running)["source"].alias("current_source"),
         F.count_if(F.col("status") == "error").alias("_errors"),
         F.count_if(F.col("status") == "queued").alias("_queued"),
+        *more,
     )
     done, total = F.col("completed_sources"), F.col("total_sources")
     return tasks.withColumns({
@@ -105,3 +111,37 @@ def task_progress_of(states: DataFrame) -> DataFrame:
 def ingest_progress(events: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Progress of tasks; ``declared`` names the sources that each was started with."""
     return task_progress_of(with_declared(latest_states(events), declared))
+
+
+STATUS = [
+    "task_id", "status", "message", "queued_sources", "total_sources", "completed_sources", "current_source",
+    *COUNTERS, "progress_pct", "started_at", "updated_at", "sources",
+]
+
+
+def task_status_of(states: DataFrame) -> DataFrame:
+    """One row per task in the shape of STATUS, from ``states_with_position`` (and ``with_declared``).
+
+    ``sources`` maps each source, by name, to its own state; ``queued_sources`` are their names. The message names
+    the source of the task's last event. Times are those of its first and last event, NULL where it has none.
+    A task's lists are as long as it has sources.
+    """
+    state = F.struct("status", *COUNTERS, _source_share().alias("progress_pct"), "message")
+    tasks = task_progress_of(
+        states,
+        F.array_sort(F.collect_list(F.struct("source", state.alias("state")))).alias("entries"),
+        F.max(F.when(F.col("last").isNotNull(), F.struct("last", "source"))).alias("newest"),
+        F.min("started.ts").alias("started_at"),
+    )
+    return tasks.withColumns({
+        "message": F.when(F.col("newest").isNull(), F.lit(fixed.TASK_QUEUED))
+        .otherwise(F.concat(F.lit(fixed.TASK_RUNNING), F.col("newest.source"))),
+        "queued_sources": F.col("entries.source"),
+        "updated_at": F.col("newest.last.ts"),
+        "sources": F.map_from_entries("entries"),
+    }).select(*STATUS)
+
+
+def task_status(events: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Status of tasks with that of each of their sources; ``declared`` as for ``ingest_progress``."""
+    return task_status_of(with_declared(states_with_position(events), declared))
