@@ -1,10 +1,13 @@
 """Toxicity and quality: held-out accuracy, whole texts, labels as the only teacher."""
 
+import math
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from vacantis.llm import compression, queries, toxicity
@@ -101,3 +104,60 @@ def test_block_difference_prefers_its_own_kind():
     g, b = compression.dictionary(good), compression.dictionary(bad)
     assert compression.difference("prose about the light of a quiet morning", g, b) > 0 > compression.difference("## buy %% now &&", g, b)
     assert compression.difference("", g, b) == 0
+
+
+def plain_logit(net, text):
+    """The network in plain loops: every window of every filter, over the text and the padding behind it."""
+    width = max(toxicity.WIDTHS)
+    words, nothing = toxicity.WORD.findall(text.lower()), np.zeros(toxicity.DIMENSIONS)
+    vectors = []
+    for w in words:
+        vector = nothing.copy()
+        for k, part in enumerate((w, w[: toxicity.FIRST])):
+            bucket = xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass")) >> 64 - toxicity.BUCKET_BITS
+            vector += net.embeddings[net.rows[k][bucket]]
+        vectors.append(vector)
+    vectors += [nothing] * width
+    total = net.offset
+    for k, filters in enumerate(net.filters):
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for at in range(len(words) + 1):
+                value = float(net.bias[k][f])
+                for j in range(len(filters)):
+                    value += sum(float(vectors[at + j][d]) * float(filters[j][d][f]) for d in range(toxicity.DIMENSIONS))
+                best = max(best, value)
+            total += best * float(net.out[k][f])
+    return total
+
+
+def test_network_against_plain_loops(spark, documents, rows):
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    model = toxicity.fit(documents, labels, F.lit(True), "label", 40)
+    short = sorted((t for _, t in rows if t), key=len)[:25] + ["", "the der Le \u4e2d\u6587 don't", "\ud7ff_x_ 12"]
+    found = toxicity.logits(model.network, [toxicity.buckets(t)[0] for t in short])
+    assert found == pytest.approx([plain_logit(model.network, t) for t in short], abs=1e-3)
+    tables = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score(tables, model).collect()}
+    order = sorted(range(len(short)), key=lambda i: (toxicity.buckets(short[i])[1], found[i]))
+    for i, j in zip(order, order[1:], strict=False):  # within a language a score rises with the output
+        if toxicity.buckets(short[i])[1] == toxicity.buckets(short[j])[1]:
+            assert scores[i] <= scores[j] + 1e-9
+
+
+def test_compression_against_plain_loop(spark, documents, rows):
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = compression.fit(documents, labels, F.lit(True), per_class=40)
+    packers = [
+        zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+        for d in (model.good, model.bad)
+    ]
+    got = {r.doc_id: r.score for r in compression.score(documents, model).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        data, saved = (text or "").encode(), 0
+        for at in range(0, len(data), compression.BLOCK):
+            good, bad = (len(p.compress(data[at : at + compression.BLOCK])) for p in packers)
+            saved += bad - good
+        z = model.slope * (saved / max(1, len(data))) + model.intercept
+        assert got[doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), abs=1e-9)
