@@ -21,7 +21,7 @@ OTHER_SPACE = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace() and
 OTHER_ASCII = [c for c in OTHER_SPACE if c.isascii()]
 SLOW = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 # Bytes of the table (an entry counts its letters, its ids and ENTRY_BYTES), and the longest piece that it keeps.
-KEPT_BYTES, ENTRY_BYTES, KEPT_CHARS = 64 << 20, 150, 48
+KEPT_BYTES, ENTRY_BYTES, KEPT_CHARS = 96 << 20, 150, 48
 
 
 def pieces(text: str) -> list[str]:
