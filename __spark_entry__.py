@@ -24,7 +24,7 @@ from vacantis.operators import counts, derive, extract, progress, search, series
 from vacantis.plans import forecast, overview
 from vacantis.session import fresh_folder
 from vacantis.sources import bindings as b
-from vacantis.sources import tables
+from vacantis.sources import bucketed, tables
 from vacantis.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,13 @@ def s6_write_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _shown(tables.read_snapshot(spark, root, version))
 
 
+def j2_merge_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    path, target = fresh_folder(spark, "bucketed"), fresh_folder(spark, "bucketed-merged")
+    bucketed.write_bucketed(b.jobs(spark, d), path)
+    bucketed.merge_bucketed(spark, path, _arrived(spark, d), target, _ingest_ts())
+    return _shown(bucketed.scan_bucketed(spark, target))
+
+
 # --- streams -----------------------------------------------------------------
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -213,6 +220,7 @@ def queries() -> dict[str, Query]:
         "url", "title", *upsert.RUN_ORDER
     )
     q["j2_upsert_fill_missing"] = lambda spark, d: _shown(_merged(spark, d))
+    q["j2_merge_bucketed"] = j2_merge_bucketed
     q["j3_dedup_batch"] = lambda spark, d: upsert.dedup_batch(b.incoming(spark, d)).select(
         "url", "title", *upsert.RUN_ORDER
     )

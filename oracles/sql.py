@@ -257,6 +257,7 @@ O["s5_append_jobs"] = q(
 )
 O["s6_write_snapshot"] = q("SELECT * EXCLUDE (change) FROM merged", *MERGED, base="jobs incoming")
 O["t1_ingest_stream"] = O["s6_write_snapshot"]
+O["j2_merge_bucketed"] = O["s6_write_snapshot"]
 O["t2_stream_dedup_by_url"] = q("SELECT DISTINCT url FROM incoming WHERE url <> '' AND title <> ''", base="incoming")
 O["t4_ingest_metrics"] = q(
     "SELECT count(change) AS processed, count(*) FILTER (change IN ('inserted', 'enriched')) AS saved, "

@@ -82,7 +82,7 @@ def _blank(c: Column, text: bool) -> Column:
 
 
 def upsert_fill_missing(
-    existing: DataFrame, incoming: DataFrame, ingest_ts: Column | None = None, is_stored: bool = False
+    existing: DataFrame, incoming: DataFrame, ingest_ts: Column | None = None, is_stored: bool = False, has_urls: bool = False
 ) -> DataFrame:
     """The merged table with a ``change`` column.
 
@@ -92,7 +92,8 @@ def upsert_fill_missing(
     first, as it is read several times, unless it is so already.
 
     The stored side is the left side of one join: when the batch is small enough, Spark
-    broadcasts it by measured size and the stored rows are never shuffled.
+    broadcasts it by measured size and the stored rows are never shuffled. With ``has_urls`` (no stored url is
+    null) the join is on the url itself, so that a table bucketed by it is not shuffled for a large batch either.
     """
     ingest_ts = F.lit(None) if ingest_ts is None else ingest_ts
     incoming = incoming if is_stored else stored(incoming, "batch")
@@ -102,7 +103,8 @@ def upsert_fill_missing(
     )
     # rows stored without url match nothing; their own id spreads them over the tasks
     spread = F.concat(F.lit("\0"), F.col("id").cast("string"))
-    joined = existing.withColumn("_key", F.coalesce(F.col("url"), spread)).join(batch, "_key", "left")
+    key = F.col("url") if has_urls else F.coalesce(F.col("url"), spread)
+    joined = existing.withColumn("_key", key).join(batch, "_key", "left")
 
     filled: dict[str, Column] = {}
     improved = F.lit(False)
