@@ -14,14 +14,20 @@ from vacantis.sources.tables import scan_for_analytics
 def top_series(skill_months: DataFrame, top_n: int) -> DataFrame:
     """One row for each of the top-n skills of a category, with its months in order.
 
-    Totals and months come from one aggregation, so the table is read once; a series is
-    bounded by the calendar. The cut to n rows per category happens before the shuffle.
+    The cut is made on totals; only the series that pass it are nested. They are ``top_n`` for each of the two
+    categories, so they are broadcast whatever the table's size. Totals and months read one shuffle of the counts.
     """
-    whole_series = skill_months.groupBy(*series.SERIES).agg(
-        F.sum("count").alias("total"),
-        F.array_sort(F.collect_list(F.struct("month", "count"))).alias("history"),
+    totals = skill_months.groupBy(*series.SERIES).agg(F.sum("count").alias("total"))
+    winners = counts.top_k(totals, top_n, "total", "skill", per="category").select(
+        "rank", "total", *[F.col(c).alias(f"_{c}") for c in series.SERIES]
+    )
+    # null-safe, so that no filter is pushed below the counts and both branches share their shuffle
+    same_series = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in series.SERIES]
+    return (
+        skill_months.join(F.broadcast(winners), same_series)
+        .groupBy(*series.SERIES, "rank", "total")
+        .agg(F.array_sort(F.collect_list(F.struct("month", "count"))).alias("history"))
     )
-    return counts.top_k(whole_series, top_n, "total", "skill", per="category")
 
 
 def _line(counts_: Column, n: Column, x: Column) -> Column:
