@@ -65,8 +65,10 @@ def _arrived(spark: SparkSession, d: str) -> DataFrame:
     return upsert.dedup_batch(upsert.has_title_and_url(b.incoming(spark, d)))
 
 
-def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return upsert.upsert_fill_missing(b.jobs(spark, d), _arrived(spark, d), _ingest_ts())
+def _merged(spark: SparkSession, d: str, laid: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    return upsert.upsert_fill_missing(
+        b.slim_jobs(spark, d), _arrived(spark, d), _ingest_ts(), late=b.with_texts(spark, d), laid=laid
+    )
 
 
 def _shown(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,8 +83,19 @@ def _blank(c: Column, text: bool) -> Column:
     return non_empty(c).isNull() if text else c.isNull()
 
 
+# Rows of a batch from which it is not broadcast, and up to which a bucket of it is held in a hash table by a task.
+BROADCAST_ROWS, HASHED_ROWS = 100_000, 2_000_000
+
+
+def _beside_unsorted(batch: DataFrame, buckets: int) -> DataFrame:
+    """A large stored batch is met by hash in each bucket: a sort would bring the stored texts to disk, and out of their order."""
+    return batch.hint("shuffle_hash") if BROADCAST_ROWS < batch.count() <= buckets * HASHED_ROWS else batch
+
+
 def upsert_fill_missing(
-    existing: DataFrame, incoming: DataFrame, ingest_ts: Column | None = None, is_stored: bool = False, has_urls: bool = False
+    existing: DataFrame, incoming: DataFrame, ingest_ts: Column | None = None, is_stored: bool = False, has_urls: bool = False,
+    late: Callable[[DataFrame], DataFrame] | None = None, dealt: Callable[[DataFrame], DataFrame] | None = None,
+    laid: Callable[[DataFrame], DataFrame] | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """The merged table with a ``change`` column.
 
@@ -94,22 +107,35 @@ def upsert_fill_missing(
     The stored side is the left side of one join: when the batch is small enough, Spark
     broadcasts it by measured size and the stored rows are never shuffled. With ``has_urls`` (no stored url is
     null) the join is on the url itself, so that a table bucketed by it is not shuffled for a large batch either.
+
+    Descriptions are nearly all of a table's bytes, so they can be kept out of the shuffles:
+
+    - ``late`` adds ``description`` to stored rows that come without it, after the join; ``laid`` deals out the
+      merged rows before that.
+    - ``dealt`` deals rows out by a ``bucket`` column of their url and adds it. The stored rows meet a large batch in
+      their buckets, in the order they come in, and leave in them.
+    - ``buckets`` is how many the stored rows lie in, or are dealt to; a large batch is met there unsorted.
     """
     ingest_ts = F.lit(None) if ingest_ts is None else ingest_ts
     incoming = incoming if is_stored else stored(incoming, "batch")
     fields = TEXT_FIELDS + TYPED_FIELDS + ["skills"]
-    batch = incoming.select(
-        F.col("url").alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in fields]
+    keys = ["_key"] if dealt is None else ["bucket", "_key"]
+    batch = (incoming if dealt is None else dealt(incoming)).select(
+        *keys[:-1], F.col("url").alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in fields]
     )
+    if buckets is not None and late is None:
+        batch = _beside_unsorted(batch, buckets)
     # rows stored without url match nothing; their own id spreads them over the tasks
     spread = F.concat(F.lit("\0"), F.col("id").cast("string"))
     key = F.col("url") if has_urls else F.coalesce(F.col("url"), spread)
-    joined = existing.withColumn("_key", key).join(batch, "_key", "left")
+    joined = (existing if dealt is None else dealt(existing)).withColumn("_key", key).join(batch, keys, "left")
 
     filled: dict[str, Column] = {}
     improved = F.lit(False)
     for c in fields:
         current, arriving, text = F.col(c), F.col(f"_{c}"), c in TEXT_FIELDS
+        if c == "description":
+            continue
         improved = improved | (_blank(current, text) & ~_blank(arriving, text))
         if c == "skills":
             filled[c] = F.when(current.isNull(), _stored_skills(arriving)).otherwise(current)
@@ -117,13 +143,30 @@ def upsert_fill_missing(
             filled[c] = F.coalesce(non_empty(current), non_empty(arriving), current)
         else:
             filled[c] = F.coalesce(current, arriving)
+    slim = [f for f in JOBS_SCHEMA if f.name != "description"]
+    held = [c for c in joined.columns if c not in JOBS_SCHEMA.names and not c.startswith("_")]
     change = F.when(F.col("_hit"), F.when(improved, "enriched").otherwise("unchanged"))
     kept = joined.select(
-        *[filled.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in JOBS_SCHEMA],
-        change.alias("change"),
+        *[filled.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in slim],
+        *(["description"] if late is None else []), *held, "_description", change.alias("change"),
+    )
+    new = as_new(new_only(incoming, existing), ingest_ts)
+    added = new.select(
+        *[c for c in new.columns if c != "description"], F.col("description").alias("_description"), F.lit("inserted").alias("change")
+    )
+    added = added if dealt is None else dealt(added)
+    merged = kept.unionByName(added, allowMissingColumns=True)
+    merged = merged if laid is None else laid(merged)
+    merged = merged if late is None else late(merged)
+
+    current, arriving, change = F.col("description"), F.col("_description"), F.col("change")
+    inserted = change.eqNullSafe("inserted")
+    enriched = (change == "unchanged") & _blank(current, True) & ~_blank(arriving, True)
+    full = {"description": F.when(inserted, arriving).otherwise(F.coalesce(non_empty(current), non_empty(arriving), current)).cast("string")}
+    return merged.select(
+        *[full.get(f.name, F.col(f.name)).alias(f.name) for f in JOBS_SCHEMA],
+        F.when(enriched, "enriched").otherwise(change).alias("change"),
     )
-    added = as_new(new_only(incoming, existing), ingest_ts).withColumn("change", F.lit("inserted"))
-    return kept.unionByName(added)
 
 
 def upsert_counts(merged: DataFrame) -> DataFrame:
