@@ -41,3 +41,14 @@ def test_texts_are_joined_after_the_merge(spark, sf_dir):
     with without_broadcast(spark):
         joins = [x for x in plan_of(entry._merged(spark, sf_dir)).splitlines() if "Join" in x]
     assert "doc_slot" in joins[0]
+
+
+def test_counts_need_no_text_in_a_shuffle(spark, sf_dir):
+    jobs, batch = tables(spark)
+    texts = jobs.select("id", "description")
+    late = upsert.upsert_fill_missing(jobs.drop("description"), batch, now(), late=lambda df: df.join(texts, "id", "left"))
+    whole = upsert.upsert_fill_missing(jobs, batch, now())
+    assert upsert.upsert_counts(late).first() == upsert.upsert_counts(whole).first()
+    with without_broadcast(spark):
+        joins = [x for x in plan_of(entry.queries()["j4_upsert_counts"](spark, sf_dir)).splitlines() if "Join" in x]
+    assert "doc_slot" in joins[0]
