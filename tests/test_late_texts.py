@@ -7,6 +7,7 @@ from test_bucketed import now, without_broadcast
 import __spark_entry__ as entry
 from vacantis import schema
 from vacantis.operators import upsert
+from vacantis.sources import bindings as b
 
 
 def rows_of(df):
@@ -52,3 +53,8 @@ def test_counts_need_no_text_in_a_shuffle(spark, sf_dir):
     with without_broadcast(spark):
         joins = [x for x in plan_of(entry.queries()["j4_upsert_counts"](spark, sf_dir)).splitlines() if "Join" in x]
     assert "doc_slot" in joins[0]
+
+
+def test_postings_by_text_are_the_same_postings(spark, sf_dir):
+    plain, by_text = b.jobs(spark, sf_dir).select(schema.JOB_COLUMNS), b.jobs_by_text(spark, sf_dir)
+    assert by_text.exceptAll(plain).isEmpty() and by_text.count() == plain.count()

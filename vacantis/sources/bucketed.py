@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantis.operators import upsert
 from vacantis.schema import JOBS_SCHEMA
-from vacantis.session import stored
+from vacantis.session import stored, writing
 
 BUCKETS = 32
 
@@ -38,15 +39,28 @@ def _loose(path: str) -> str:
 def _save(keyed: DataFrame, loose: DataFrame, path: str, buckets: int) -> None:
     """Bucket files are written through a table; it is dropped at once, its files stay."""
     spark, name = keyed.sparkSession, f"bucketed_{uuid.uuid4().hex}"
-    keyed.write.format("parquet").bucketBy(buckets, "url").option("path", _keyed(path, buckets)).saveAsTable(name)
+    with writing(spark, buckets):
+        keyed.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "url").option("path", _keyed(path, buckets)).saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")
-    loose.write.parquet(_loose(path))
+    loose.write.option("compression", "zstd").parquet(_loose(path))
 
 
-def write_bucketed(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Lay a whole table out by url: one shuffle, one file per bucket."""
-    df = df.select(*JOBS_SCHEMA.names)
-    _save(df.where(F.col("url").isNotNull()).repartition(buckets, "url"), df.where(F.col("url").isNull()), path, buckets)
+def write_bucketed(
+    df: DataFrame, path: str, buckets: int = BUCKETS, late: Callable[[DataFrame], DataFrame] | None = None, order: Sequence[str] = ()
+) -> None:
+    """Lay a whole table out by url: one shuffle, one file per bucket.
+
+    ``late`` adds the columns that rows come without after the shuffle, to rows in ``order`` in each task: texts are
+    not shuffled then, and equal ones lie side by side.
+    """
+
+    def whole(rows: DataFrame) -> DataFrame:
+        if order:
+            rows = rows.sortWithinPartitions(*order)
+        return (rows if late is None else late(rows)).select(*JOBS_SCHEMA.names)
+
+    keyed = df.where(F.col("url").isNotNull()).repartition(buckets, "url")
+    _save(whole(keyed), whole(df.where(F.col("url").isNull())), path, buckets)
 
 
 def scan_keyed(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
@@ -75,7 +89,7 @@ def merged_keyed(
     spark: SparkSession, path: str, incoming: DataFrame, ingest_ts: Column | None = None, buckets: int = BUCKETS, is_stored: bool = False
 ) -> DataFrame:
     """``upsert.upsert_fill_missing`` of a batch into the postings with a url, with its ``change`` column."""
-    return upsert.upsert_fill_missing(scan_keyed(spark, path, buckets), incoming, ingest_ts, is_stored, has_urls=True)
+    return upsert.upsert_fill_missing(scan_keyed(spark, path, buckets), incoming, ingest_ts, is_stored, has_urls=True, buckets=buckets)
 
 
 def merge_bucketed(
