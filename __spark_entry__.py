@@ -141,7 +141,7 @@ def s6_write_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 def j2_merge_bucketed(spark: SparkSession, d: str) -> DataFrame:
     path, target = fresh_folder(spark, "bucketed"), fresh_folder(spark, "bucketed-merged")
-    bucketed.write_bucketed(b.jobs(spark, d), path)
+    bucketed.write_bucketed(b.slim_jobs(spark, d), path, late=b.with_texts(spark, d), order=["doc_slot"])
     bucketed.merge_bucketed(spark, path, _arrived(spark, d), target, _ingest_ts())
     return _shown(bucketed.scan_bucketed(spark, target))
 
