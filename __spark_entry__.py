@@ -22,7 +22,7 @@ from vacantis import schema
 from vacantis.functions import pages, parsing, skills, text
 from vacantis.operators import counts, derive, extract, progress, search, series, upsert
 from vacantis.plans import forecast, overview
-from vacantis.session import fresh_folder
+from vacantis.session import fresh_folder, stored
 from vacantis.sources import bindings as b
 from vacantis.sources import bucketed, store, tables
 from vacantis.streaming import ingest
@@ -123,8 +123,9 @@ def s4_conform_schema(spark: SparkSession, d: str) -> DataFrame:
 
 def s5_append_jobs(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_folder(spark, "append")
-    new = upsert.new_only(_arrived(spark, d), b.jobs(spark, d))
-    tables.append_jobs(b.jobs(spark, d), path)
+    arrived = stored(_arrived(spark, d), "batch")
+    new = upsert.new_only(arrived, b.slim_jobs(spark, d))
+    tables.append_jobs(b.jobs_by_text(spark, d), path)
     tables.append_jobs(schema.project_read_shape(upsert.as_new(new, _ingest_ts())), path)
     return _shown(tables.scan_jobs(spark, path))
 
