@@ -58,3 +58,8 @@ def test_counts_need_no_text_in_a_shuffle(spark, sf_dir):
 def test_postings_by_text_are_the_same_postings(spark, sf_dir):
     plain, by_text = b.jobs(spark, sf_dir).select(schema.JOB_COLUMNS), b.jobs_by_text(spark, sf_dir)
     assert by_text.exceptAll(plain).isEmpty() and by_text.count() == plain.count()
+
+
+def test_rows_are_ordered_below_the_join_with_their_texts(spark, sf_dir):
+    plan = plan_of(b.jobs_by_text(spark, sf_dir))
+    assert "Sort [doc_slot" in plan

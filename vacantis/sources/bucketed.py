@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vacantis.operators import upsert
 from vacantis.schema import JOBS_SCHEMA
-from vacantis.session import stored, writing
+from vacantis.session import in_order, stored, writing
 
 BUCKETS = 32
 
@@ -56,7 +56,7 @@ def write_bucketed(
 
     def whole(rows: DataFrame) -> DataFrame:
         if order:
-            rows = rows.sortWithinPartitions(*order)
+            rows = in_order(rows, *order)
         return (rows if late is None else late(rows)).select(*JOBS_SCHEMA.names)
 
     keyed = df.where(F.col("url").isNotNull()).repartition(buckets, "url")
