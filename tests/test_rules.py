@@ -159,3 +159,42 @@ def test_cities_are_found_at_any_place_in_list_order(spark):
     for t in texts:
         plain = text._fold((t or "").lower())
         assert got[t] == next((c for c, k in zip(fixed.KNOWN_CITIES, folded, strict=True) if k in plain), None)
+
+
+def test_detect_english_in_every_spelling(spark):
+    """Any character before, inside and after a phrase, against folding the whole text first."""
+    hosts = ["{}english", "english{}", "x{}english", "no requiere{}ingles", "no requiere {} ingles", "in{}gles", "sin{} ingles.", "ingles{}a requerid{}o"]
+    chars = [chr(p) for p in range(1, 0x3100) if unicodedata.category(chr(p)) not in ("Cn", "Cs")]
+    chars += ["\u0301\u0327", "\xa0\u0301\n", "\ufb1d", "\U0001d15e", "\uac01", "\u1b06", "\u0b94", "\u212a", "\u0130"]
+    values = [h.replace("{}", c) for h in hosts for c in chars]
+    letters = {c: "".join(chars[ord("\xc0") - 1 :]) for c in "ngles"}
+    values += [f"no requiere i{a}" for c, others in letters.items() for a in ("ngles".replace(c, o) for o in others if text._fold(o.lower()) == c)]
+    values += ["requiere " * 300 + "inglesa", "English " + "x" * 5000 + "NOT\u2003 requ\u00cdred", "english not" + " " * 9000 + "required"]
+    far = "y\u00e9 " * 80
+    values += [far + p.replace(" ", gap) + end + far for p in ("no requiere ingles", "sin ingl\u00e9s", "not required in english", "english not required",
+               "singles", "inglesa", "xinglesa requerido", "must be english", "b2 englishy") for gap in (" ", " " * 30, "\u0301\xa0" * 40) for end in ("", " ", "x", "\u0301" * 50)]
+    values += [far + "requiere" + far + "inglesa", far + "inglesa" + far + "requerida", "english |" + far + "not required", "jungle " * 50 + far + "no requiere ingles" + far]
+
+    def folded_first(c):
+        spaced = {p: p.replace(" ", f"{text.SPACE}+") for p in text._PHRASES}
+        letter = r"[\p{L}\p{N}_]"
+
+        def verdict(t):
+            def some(phrases, around="{}"):
+                return F.array_max(F.array(*[t.rlike("(?s)" + around.replace("{}", spaced[p])) for p in phrases]))
+
+            return (
+                F.when(some(fixed.ENGLISH_NEGATIVE), F.lit(False))
+                .when(some(fixed.ENGLISH_POSITIVE) | some(fixed.ENGLISH_MENTION, f"(?<!{letter}){{}}(?!{letter})"), F.lit(True))
+            )
+
+        return text.let(text.strip_accents(F.lower(c)), verdict)
+
+    assert apply(spark, text.detect_english, values) == apply(spark, folded_first, values)
+
+
+def test_detect_english_folds_only_what_lies_around_the_stem(spark):
+    long = "caf\u00e9 \u00f1and\u00fa \u01d5 " * 2000
+    df = spark.createDataFrame([(long + "ingl\u00e9s " + long,), ("English",), ("ingl\u00e9s" + " " * 99 + "no requerido",)], "t string")
+    near = text.let(F.split("t", text._stem_as_written()), lambda parts: text._around_stems(F.col("t"), parts))
+    assert [r[0] for r in df.select(F.char_length(near)).collect()] == [99, 7, 117]
