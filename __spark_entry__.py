@@ -71,6 +71,14 @@ def _merged(spark: SparkSession, d: str, laid: Callable[[DataFrame], DataFrame]
     )
 
 
+def _merged_blankness(spark: SparkSession, d: str) -> DataFrame:
+    """``_merged`` with texts and skills cut to what its changes depend on."""
+    arrived = upsert.dedup_batch(upsert.has_title_and_url(upsert.only_blankness(b.incoming(spark, d))))
+    return upsert.upsert_fill_missing(
+        upsert.only_blankness(b.slim_jobs(spark, d)), arrived, _ingest_ts(), late=b.with_texts(spark, d, letters=1)
+    )
+
+
 def _shown(df: DataFrame) -> DataFrame:
     """A merged table without surrogate ids."""
     return _json(df.drop("id"), "skills")
@@ -241,7 +249,7 @@ def queries() -> dict[str, Query]:
     q["j3_dedup_batch"] = lambda spark, d: upsert.dedup_batch(b.incoming(spark, d)).select(
         "url", "title", *upsert.RUN_ORDER
     )
-    q["j4_upsert_counts"] = lambda spark, d: upsert.upsert_counts(_merged(spark, d))
+    q["j4_upsert_counts"] = lambda spark, d: upsert.upsert_counts(_merged_blankness(spark, d))
     q["j5_skill_alias_lookup"] = lambda spark, d: b.raw_skills(spark, d).withColumn(
         "alias", skills.skill_alias(skills.skill_words(C("raw_skill")))
     )

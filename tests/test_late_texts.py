@@ -119,3 +119,17 @@ def test_pages_take_no_part_in_the_join_by_url(spark, sf_dir):
         depth = [i for i, x in enumerate(plan) if "ArrowEvalPython" in x]
         first_join = next(i for i, x in enumerate(plan) if i > depth[0] and "Join" in x)
         assert "doc_slot" in plan[first_join]
+
+
+def test_counts_depend_on_blankness_alone(spark, sf_dir):
+    jobs, batch = tables(spark)
+    cut = upsert.upsert_fill_missing(upsert.only_blankness(jobs), upsert.only_blankness(batch), now())
+    assert upsert.upsert_counts(cut).first() == upsert.upsert_counts(upsert.upsert_fill_missing(jobs, batch, now())).first()
+    skills = [(None,), ([],), (["a"],)]
+    df = spark.createDataFrame([(s, t) for (s,) in skills for t in (None, "", "text")], "skills array<string>, title string")
+    got = [(r.skills, r.title) for r in upsert.only_blankness(df).collect()]
+    assert got == [(s, t) for s in (None, [], []) for t in (None, "", "t")]
+    counted, whole = entry.queries()["j4_upsert_counts"](spark, sf_dir), upsert.upsert_counts(entry._merged(spark, sf_dir))
+    assert counted.first() == whole.first()
+    plan = plan_of(counted)
+    assert "left(text" in plan or "substr" in plan.lower()

@@ -169,6 +169,13 @@ def upsert_fill_missing(
     )
 
 
+def only_blankness(df: DataFrame) -> DataFrame:
+    """Rows with no more of their texts and skills than tells whether they are blank, which is all that a change depends on."""
+    texts = {c: F.left(F.col(c), F.lit(1)) for c in TEXT_FIELDS if c in df.columns}
+    listed = {"skills": F.when(F.col("skills").isNotNull(), F.array().cast("array<string>"))} if "skills" in df.columns else {}
+    return df.withColumns(texts | listed)
+
+
 def upsert_counts(merged: DataFrame) -> DataFrame:
     """How many incoming rows were inserted, enriched, unchanged and saved."""
     inserted, enriched, unchanged = (
