@@ -133,3 +133,13 @@ def test_counts_depend_on_blankness_alone(spark, sf_dir):
     assert counted.first() == whole.first()
     plan = plan_of(counted)
     assert "left(text" in plan or "substr" in plan.lower()
+
+
+def test_repeated_documents_repeat_no_posting(spark, sf_dir, tmp_path):
+    for name in ("orders", "customer"):
+        b.given(spark, sf_dir, name).limit(40).write.parquet(f"{tmp_path}/{name}.parquet")
+    documents = b.given(spark, sf_dir, "documents")
+    documents.union(documents).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("j8_enrich_from_detail", "h8_build_raw_postings"):
+        got = entry.queries()[name](spark, str(tmp_path))
+        assert got.count() == got.select("url").distinct().count() > 40
