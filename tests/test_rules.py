@@ -198,3 +198,17 @@ def test_detect_english_folds_only_what_lies_around_the_stem(spark):
     df = spark.createDataFrame([(long + "ingl\u00e9s " + long,), ("English",), ("ingl\u00e9s" + " " * 99 + "no requerido",)], "t string")
     near = text.let(F.split("t", text._stem_as_written()), lambda parts: text._around_stems(F.col("t"), parts))
     assert [r[0] for r in df.select(F.char_length(near)).collect()] == [99, 7, 117]
+
+
+def test_detect_english_beside_wide_letters(spark):
+    wide = "\U0001F600 日本 é " * 60
+    values = [
+        f"{wide}english not required{wide}", f"{wide}siń inglés{wide}\x01",
+        f"{wide}no requiere inglés", f"english required{wide}", f"{wide}English", f"\U0001F600english{wide}", "日" * 47 + "ingles" + "日" * 49,
+    ]
+    assert apply(spark, text.detect_english, values) == [model_english(v) for v in values]
+
+
+def test_stem_is_looked_for_behind_plain_classes():
+    plain, rest = text._stem_as_written().split("(?<=", 1)
+    assert plain == r"[nN\x{80}-\x{10FFFF}]" and rest.startswith("[nN[")
