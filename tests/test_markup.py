@@ -1,15 +1,18 @@
 """Element extraction on nested and irregular markup."""
 
 import html
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from vacantis import fixed_values as fixed
 from vacantis.functions import markup as m
 from vacantis.functions import pages
 from vacantis.functions.pages import Page, equals, holds
 from vacantis.operators import extract
+from vacantis.sources import bindings
 
 PAGE = """<!-- <h1 itemprop="title">old</h1> --><script>"<h1 itemprop='title'>no</h1>"</script>
 <H1 Class='a b' itemprop=title> Caf&eacute; &amp; T&#233; &#x20AC; &bogus; </H1>
@@ -120,3 +123,59 @@ def test_links_in_all_spellings(spark):
     pages = spark.createDataFrame([(1, page)], "page_id long, html string")
     got = [r.url for r in extract.extract_links(pages, "/empleos/", [], "https://s.example").orderBy("pos").collect()]
     assert got == [f"https://s.example/empleos/{x}" for x in ("1", "2", "3?a&b", "4/", "6")]
+
+
+def test_equal_tags_of_pages_are_read_once():
+    known = {}
+    one, two = Page("<p class='a'>x</p>", known), Page("<b></b><p class='a'>y<br></p>", known)
+    assert one.tags[0] is two.tags[2] and one.attributes(0) == {"class": "a"}
+
+
+def test_both_ways_to_cut_a_page_agree():
+    draw = random.Random(8)
+    parts = ["<p class=a>", "</p>", "<P Class='A'>", "<br>", "<div/>", "<a href=x/>", "<i id=a/ >", "< b>", "<", ">", "'", '"', "<!x>", "<! 'y>", "<1>",
+             "</>", "<p '>", "<p 'a>b'>", '<p x="1" x=2 y>', "text", "&amp;", "<p", "</p x='>'>", "<!-- <p> -->", "<script>'<p>'</script>"]
+    quick = 0
+    for _ in range(3000):
+        text = "".join(draw.choices(parts, k=draw.randint(0, 8)))
+        page, plain = Page(text), Page("")
+        plain._cut_by_pattern(pages.HIDDEN.sub("", text))
+        assert (page.tags, page.pieces) == (plain.tags, plain.pieces), text
+        quick += Page("")._cut_at_brackets(text, {})
+    assert quick > 300
+
+
+def test_work_modes_alone_are_those_of_whole_extraction(spark, sf_dir):
+    stamp = F.lit(None).cast("timestamp_ntz")
+    for given, whole, alone in (
+        (bindings.microdata_pages, lambda p: extract.extract_microdata(p, stamp), extract.microdata_work_modes),
+        (bindings.detail_pages, extract.extract_class_detail, extract.class_detail_work_modes),
+    ):
+        html = given(spark, sf_dir)
+        want = whole(html).select("page_id", "work_mode").collect()
+        assert sorted(map(tuple, alone(html).collect())) == sorted(map(tuple, want)) and want
+
+
+def test_work_mode_of_a_description(spark):
+    texts = ["x H\u00cdBRIDO y", "OFFICE", "remot", "Hybr\u0131d", "tele REMOTO office", ""]
+    html = [(i, "u", f'<div class="{fixed.DETAIL_TEXT_CLASS}"><p>{t}</p></div>') for i, t in enumerate(texts)]
+    got = extract.class_detail_work_modes(spark.createDataFrame(html, "page_id long, url string, html string")).collect()
+    assert [r.work_mode for r in sorted(got)] == ["hybrid", "onsite", None, None, "remote", None]
+
+
+def test_texts_are_escaped_below_the_join(spark, sf_dir):
+    for pages_of in (bindings.microdata_pages, bindings.detail_pages):
+        plan = pages_of(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        above, below = plan.split("Join LeftOuter, (doc_id", 1) if "Join LeftOuter, (doc_id" in plan else plan.split("Join LeftOuter", 1)
+        assert "replace(" not in above and "replace(" in below
+
+
+def test_pages_equal_their_view(spark, sf_dir):
+    rows = spark.createDataFrame(
+        [(i, "a < b & c > d &amp;" if i % 3 else None, f"t{i}") for i in range(40)], "id long, description string, title string"
+    ).selectExpr("*", "'c' AS company", "'l' AS location_text", "'k' AS contract_type", "1 AS salary_min", "2 AS salary_max")
+    shown = rows.withColumn("description", F.expr(bindings._ESCAPED.format("description")))
+    for view in (bindings.MICRODATA_PAGES, bindings.DETAIL_PAGES):
+        assert bindings._of_escaped(view) != view
+        want = bindings._view(spark, view, jobs=rows).collect()
+        assert bindings._view(spark, bindings._of_escaped(view), jobs=shown).collect() == want
