@@ -30,6 +30,7 @@ from vacantis.llm.tokens import encoder
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 STRIPE_BYTES = 16 << 20
 ROWS_PER_INDEX = 1_000
+TABLE_BYTES = 256 << 20  # of known pieces in a Python worker, which holds little else here
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, stripe_bytes: int = STRIPE_BYTES) -> None:
@@ -37,7 +38,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, st
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in small(batches):
-            ids, ends = encoder(tokenizer).encode(batch["text"].to_pylist(), end_id)
+            ids, ends = encoder(tokenizer, TABLE_BYTES).encode(batch["text"].to_pylist(), end_id)
             sizes = np.diff(ends, prepend=0)
             yield pa.RecordBatch.from_arrays(
                 [

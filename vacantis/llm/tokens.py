@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 import sys
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -20,7 +22,8 @@ PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_SPACE = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace() and chr(i) not in " \t\n\r"]
 OTHER_ASCII = [c for c in OTHER_SPACE if c.isascii()]
 SLOW = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
-# Bytes of the table (an entry counts its letters, its ids and ENTRY_BYTES), and the longest piece that it keeps.
+# Bytes of the table unless an operator has room for more (an entry counts its letters, its ids and ENTRY_BYTES), and the
+# longest piece that it keeps.
 KEPT_BYTES, ENTRY_BYTES, KEPT_CHARS = 96 << 20, 150, 48
 
 
@@ -39,22 +42,44 @@ def surface(piece: str) -> str:
     return piece[:-1] if piece[-1:] == " " else piece if piece[:1] == "\n" else " " + piece
 
 
+WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def of_words(tokenizer) -> Callable[[str], bytes] | None:
+    """Ids of a blank and a Latin word, where the tokenizer surely passes both to its byte-level model in one; else nothing does."""
+    from tokenizers import models, pre_tokenizers
+
+    before, model = tokenizer.pre_tokenizer, tokenizer.model
+    is_plain = (
+        tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space
+        and isinstance(model, models.BPE) and not model.dropout and tokenizer.truncation is None and tokenizer.padding is None
+    )
+    # a token added to the model may be cut out of a word
+    if not is_plain or any(t.content.strip().isalpha() for t in tokenizer.get_added_tokens_decoder().values()):
+        return None
+    letters = {b: before.pre_tokenize_str(bytes([b]).decode())[0][0] for b in range(128)}
+    letters |= {b: w for i in range(0x80, 0x800) for b, w in zip(chr(i).encode(), before.pre_tokenize_str(chr(i))[0][0], strict=True)}
+    return lambda word: array("I", [t.id for t in model.tokenize(f" {word}".encode().decode("latin-1").translate(letters))]).tobytes()
+
+
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.held = 0
+        self.kept_bytes = kept_bytes
         self.mark: tuple[int, str] | None = None
         added = self.tokenizer.get_added_tokens_decoder()
+        self.word = of_words(self.tokenizer) if sys.byteorder == "little" and array("I").itemsize == 4 else None
         self.stops = {c: self.new_ids([c])[0] for c in ".,"}
         self.mark = next(((i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip)), None)
 
     def new_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; those in one call are parted by a special token, which ends all others."""
-        if self.mark is None or any(self.mark[1][0] in t for t in texts):
+        if self.mark is None or self.mark[1][0] in "".join(texts):
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.asarray(x.ids, "<u4").tobytes() for x in found]
         number, content = self.mark
@@ -78,7 +103,7 @@ class Encoder:
         found = self.ids_of({flat[i] for i in missing})
         for i in missing:
             ids[i] = found[flat[i]]
-        if self.held < KEPT_BYTES:
+        if self.held < self.kept_bytes:
             new = {x: y for x, y in found.items() if len(x) <= KEPT_CHARS}
             self.known.update(new)
             self.held += sum(len(x) + len(y) + ENTRY_BYTES for x, y in new.items())
@@ -91,19 +116,25 @@ class Encoder:
 
     def ids_of(self, new: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the table lacks; a stop behind a known Latin word is a token of its own."""
-        found = {}
+        found, rest = {}, []
+        stops, known, of_word = self.stops, self.known, self.word
         for x in new:
-            if x[-1:] in self.stops and x[-2:-1].isalnum() and x[-2] < "\u0250" and (word := self.known.get(x[:-1])) is not None:
-                found[x] = word + self.stops[x[-1]]
-        rest = [x for x in new if x not in found]
-        marked = [x for x in rest if self.mark and self.mark[1][0] in x]
-        plain = [x for x in rest if not (self.mark and self.mark[1][0] in x)]
+            stop = stops.get(x[-1:])
+            if stop is not None and x[-2:-1].isalnum() and x[-2] < "\u0250" and (word := known.get(x[:-1])) is not None:
+                found[x] = word + stop
+            elif of_word and WORD.fullmatch(x if stop is None else x[:-1]):
+                found[x] = of_word(x) if stop is None else of_word(x[:-1]) + stop
+            else:
+                rest.append(x)
+        marked, plain = [], rest
+        if self.mark and (first := self.mark[1][0]) in "".join(rest):
+            marked, plain = [x for x in rest if first in x], [x for x in rest if first not in x]
         for group in (marked, plain):
             if group:
                 found.update(zip(group, self.new_ids([surface(x) for x in group]), strict=True))
         return found
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept_bytes: int = KEPT_BYTES) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    return worker_table(f"tokens of {path}", lambda: Encoder(path))
+    return worker_table(f"{kept_bytes} bytes of tokens of {path}", lambda: Encoder(path, kept_bytes))
