@@ -174,3 +174,32 @@ def test_latin_words_go_to_the_model_with_the_same_ids():
         assert np.frombuffer(made.word(word), "<u4").tolist() == ids_of(BYTES, f" {word}")[:-1]
     text = " ".join(w + draw.choice(["", ".", ",", "'s", "1", "×"]) for w in sorted(words))
     assert made.encode([text], 0)[0].tolist() == ids_of(BYTES, text) and not made.known
+
+
+def test_words_digits_and_signs_go_to_the_model_with_the_same_ids(monkeypatch):
+    draw = random.Random(13)
+    parts = ["The", "thinst", "ÉTÉ", "ñandú", "ß", "Straße", "don't", "I'LL", "'s", "'", "2048", "$%&", "...", "_", "a@b.es", "10.0.0.1"]
+    made = tokens.Encoder(WORDS)
+    monkeypatch.setattr(made, "new_ids", lambda texts: pytest.fail(f"{texts[:3]} went through the whole tokenizer"))
+    texts = ["".join(draw.choice(parts) + draw.choice(["", " ", "\n", ", "]) for _ in range(40)) for _ in range(200)]
+    ids, ends = made.encode(texts, 0)
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [ids_of(WORDS, t) for t in texts]
+
+
+def test_every_letter_beside_words_and_signs():
+    letters = [chr(i) for i in [*range(0x3000), *range(0xA640, 0xAB70), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFFF0)]]
+    texts = [f"x ab{c}cd A{c} {c}, {c}'S '{c} 1{c}\n{c}.{c}" for c in letters] + ["<|endoftext|> a<|startoftext|>b, <|ENDOFTEXT|>"]
+    ids, ends = tokens.Encoder(WORDS).encode(texts, 0)
+    got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+    assert [t for t, x in zip(texts, got, strict=True) if x != ids_of(WORDS, t)] == []
+
+
+def test_each_different_piece_is_looked_up_once(monkeypatch):
+    made, asked = tokens.Encoder(WORDS), Counter()
+    known = type("Known", (dict,), {"get": lambda self, x: asked.update([x]) or dict.get(self, x)})()
+    monkeypatch.setattr(made, "known", known)
+    ids, ends = made.encode(["one two two", "", "two one two " * 50], 0)
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [ids_of(WORDS, t) for t in ["one two two", "", "two one two " * 50]]
+    asked.clear()
+    made.encode(["two two two", "two " * 50], 0)
+    assert max(asked.values()) == 1

@@ -1,13 +1,14 @@
 """Token ids of whole texts by a public tokenizer.
 
 These tokenizers end a token wherever white space follows something else. So a text is cut before each
-blank or line break that follows no white space, the pieces are looked up in a bounded table of the Python worker
-or encoded, and the ids are put together again; they equal those of the whole text. A
+blank or line break that follows no white space, the different pieces of a batch are looked up in a bounded table of the
+Python worker or encoded, and the ids are put together again; they equal those of the whole text. A
 text with white space before blanks is cut by a slower rule, one with unusual white space not at all.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -15,6 +16,7 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from vacantis.llm.batches import worker_table
 
@@ -42,7 +44,23 @@ def surface(piece: str) -> str:
     return piece[:-1] if piece[-1:] == " " else piece if piece[:1] == "\n" else " " + piece
 
 
-WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+WORD = re.compile(f"[{LETTERS}]+")
+SHORTENED = "'s|'t|'re|'ve|'m|'ll|'d|"
+# What a tokenizer does that drops case and white space and gives words, digits and rows of signs to its model one by one
+LOWERED = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PARTED = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SHORTENED + r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# The same where only Latin letters, digits and ASCII signs stand; no added token begins with one of these signs
+PART = re.compile(f"[{LETTERS}]+|[0-9]|{SHORTENED}[!-/:-;=-@\\[-`{{-~]+")
 
 
 def of_words(tokenizer) -> Callable[[str], bytes] | None:
@@ -62,6 +80,25 @@ def of_words(tokenizer) -> Callable[[str], bytes] | None:
     return lambda word: array("I", [t.id for t in model.tokenize(f" {word}".encode().decode("latin-1").translate(letters))]).tobytes()
 
 
+def of_parts(tokenizer) -> Callable[[str], bytes] | None:
+    """Ids of one match of PART in lower case, where the tokenizer is one that LOWERED and PARTED describe; else nothing does."""
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    if not (isinstance(tokenizer.model, models.BPE) and isinstance(tokenizer.normalizer, normalizers.Sequence)):
+        return None
+    made, added = json.loads(tokenizer.to_str()), tokenizer.get_added_tokens_decoder().values()
+    is_plain = made["normalizer"] == LOWERED and made["pre_tokenizer"] == PARTED and not (made["model"]["dropout"] or made["truncation"] or made["padding"])
+    if not is_plain or any(t.content[0] != "<" or t.normalized for t in added):
+        return None
+    before, model = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), tokenizer.model
+
+    def ids(part: str) -> bytes:
+        found = model.tokenize(part if part.isascii() else before.pre_tokenize_str(part)[0][0])
+        return array("I", [t.id for t in found]).tobytes()
+
+    return ids
+
+
 class Encoder:
     def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         from tokenizers import Tokenizer
@@ -73,7 +110,9 @@ class Encoder:
         self.kept_bytes = kept_bytes
         self.mark: tuple[int, str] | None = None
         added = self.tokenizer.get_added_tokens_decoder()
-        self.word = of_words(self.tokenizer) if sys.byteorder == "little" and array("I").itemsize == 4 else None
+        is_little = sys.byteorder == "little" and array("I").itemsize == 4
+        self.word = of_words(self.tokenizer) if is_little else None
+        self.part = of_parts(self.tokenizer) if is_little else None
         self.stops = {c: self.new_ids([c])[0] for c in ".,"}
         self.mark = next(((i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip)), None)
 
@@ -98,27 +137,39 @@ class Encoder:
             cut = pieces(text)
             flat += cut
             n_pieces.append(len(cut))
-        ids = list(map(self.known.get, flat))
+        coded = pa.array(flat, pa.large_string()).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, different))
         missing = [i for i, x in enumerate(ids) if x is None]
-        found = self.ids_of({flat[i] for i in missing})
+        found = self.ids_of({different[i] for i in missing})
         for i in missing:
-            ids[i] = found[flat[i]]
+            ids[i] = found[different[i]]
         if self.held < self.kept_bytes:
             new = {x: y for x, y in found.items() if len(x) <= KEPT_CHARS}
             self.known.update(new)
             self.held += sum(len(x) + len(y) + ENTRY_BYTES for x, y in new.items())
-        end, at, joined = np.asarray([end_id], "<u4").tobytes(), 0, []
-        for n in n_pieces:
-            joined += [b"".join(ids[at : at + n]), end]
-            at += n
-        ends = np.cumsum(np.fromiter(map(len, joined), "i8", len(joined)))[1::2] // 4
-        return np.frombuffer(b"".join(joined), "<u4"), ends
+        last = np.cumsum(n_pieces, dtype="i8")
+        order = np.insert(coded.indices.to_numpy(), last, len(ids))
+        joined = pa.array([*ids, np.asarray([end_id], "<u4").tobytes()], pa.large_binary()).take(pa.array(order))
+        _, offsets, data = joined.buffers()
+        ends = np.frombuffer(offsets, "i8")[1 + last + np.arange(len(last))] // 4
+        return np.frombuffer(data, "<u4", int(ends[-1])), ends
 
     def ids_of(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the table lacks; a stop behind a known Latin word is a token of its own."""
+        """Ids of pieces that the table lacks: by parts that the model gets one by one, by a Latin word and the stop behind it, or by the tokenizer."""
         found, rest = {}, []
-        stops, known, of_word = self.stops, self.known, self.word
+        stops, known, of_word, of_part = self.stops, self.known, self.word, self.part
         for x in new:
+            if of_part:
+                parts = PART.findall(low := x.strip(" \t\n\r").lower())
+                if sum(map(len, parts)) == len(low):
+                    ids = []
+                    for part in parts:
+                        if (of_it := known.get(part) or found.get(part)) is None:
+                            of_it = found[part] = of_part(part)
+                        ids.append(of_it)
+                    found[x] = ids[0] if len(ids) == 1 else b"".join(ids)
+                    continue
             stop = stops.get(x[-1:])
             if stop is not None and x[-2:-1].isalnum() and x[-2] < "\u0250" and (word := known.get(x[:-1])) is not None:
                 found[x] = word + stop
