@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantis.llm.batches import in_arrow, per_batch, small, texts_of
-from vacantis.llm.tokens import encoder
+from vacantis.llm.tokens import KEPT_BYTES, encoder
 from vacantis.session import stored
 
 CAPACITY = 2048
@@ -153,13 +153,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Instance:
     return instance
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool, table_bytes: int) -> DataFrame:
     """One row per piece, with its task and its rank there among pieces of its length."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), Counter()
         for batch in small(batches):
             rows = []
-            ids, ends = encoder(tokenizer).encode(batch["text"].to_pylist(), end_id)
+            ids, ends = encoder(tokenizer, table_bytes).encode(batch["text"].to_pylist(), end_id)
             for doc_id, a, b in zip(batch["doc_id"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 for piece, at in enumerate(range(a, b, capacity)):
                     part = ids[at : min(at + capacity, b)].tobytes()
@@ -182,10 +182,13 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False, table_bytes: int = KEPT_BYTES
 ) -> DataFrame:
-    """Each piece of each document with its sequence and offset there; with ``keep_ids`` its ids too."""
-    pieces = stored(pieces_of(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
+    """Each piece of each document with its sequence and offset there; with ``keep_ids`` its ids too.
+
+    ``table_bytes`` bounds what a Python worker keeps of known words; only speed depends on it.
+    """
+    pieces = stored(pieces_of(docs, tokenizer, capacity, end_id, keep_ids, table_bytes), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     totals = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
     runs = plan({r["length"]: r["n"] for r in totals}, capacity).runs
