@@ -162,3 +162,22 @@ def test_odd_rows(spark, odd, none):
 def test_native_plan(spark, documents, sf_dir):
     plan = queries.op6_decontamination(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_small_files_are_no_reason_to_broadcast(spark, monkeypatch):
+    docs, items = made()
+    docs, items = spark.createDataFrame([(*d[:2], 0.0) for d in docs], DOCS), spark.createDataFrame(items, ITEMS)
+    want = sorted(map(repr, decontaminate.leaks(docs, items).collect()))
+    plans, keep = [], decontaminate.stored
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, label)
+
+    monkeypatch.setattr(decontaminate, "stored", seen)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    found = decontaminate.leaks(docs, items)
+    for label, df in (("leaks", found), ("clean", decontaminate.clean(docs, items))):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+    assert want and sorted(map(repr, found.collect())) == want
+    assert [label for label, plan in plans if "Broadcast" in plan] == []

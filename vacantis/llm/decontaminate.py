@@ -31,6 +31,7 @@ from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacantis.functions.text import let
@@ -39,7 +40,8 @@ from vacantis.session import stored
 SIZE, SIMILARITY = 5, 0.8
 # Seeds of the fingerprints. A pair at just 0.8 lies beyond RADIUS once in forty times, in both once in 1,600.
 RADIUS, BLOCKS, PRINTS = 15, 4, (0, 1)
-# Up to so many rows (some 150 bytes each, as measured) an item table is broadcast, beyond it is joined by shuffle.
+# Up to so many rows (some 150 bytes each, as measured) a table is broadcast, beyond it is joined by shuffle. File sizes don't decide:
+# 4 MB of these files, whose columns repeat, have filled a driver's 750 MB.
 BROADCAST_ROWS = 400_000
 
 C = F.col
@@ -101,8 +103,15 @@ def neighbours() -> Column:
     return F.from_json(F.lit(str(masks)), "array<long>")
 
 
-def few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def few(df: DataFrame, rows: Column | None = None) -> DataFrame:
+    """``df`` for the right side of a join: broadcast, or by shuffle for both sides. ``rows`` are what a row of it counts for."""
+    counted = df.agg(F.sum(F.lit(1) if rows is None else rows)).first()[0] or 0
+    return F.broadcast(df) if counted <= BROADCAST_ROWS else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that broadcasts neither side, however small their files are."""
+    return df.hint("merge")
 
 
 def keyed(docs: DataFrame) -> Column:
@@ -125,13 +134,12 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     grams = read.select("doc", (F.size("grams") + (SIZE - 1)).alias("n_words"), F.posexplode("grams").alias("place", "gram"))
     hits = stored(grams.join(few(wanted), "gram").join(few(places), "gram").select("doc", "n_words", "n", "place", "at"), "hits")
     spots = hits.select("doc", "n_words", "n", "place").distinct()
-
-    def without_neighbour(step: int) -> DataFrame:
-        return spots.join(spots.select("doc", "n", (C("place") + step).alias("place")), ["doc", "n", "place"], "left_anti")
-
+    row = W.partitionBy("doc", "n").orderBy("place")
+    sides = spots.withColumn("before", F.lag("place").over(row)).withColumn("after", F.lead("place").over(row))
     starts = [
-        hits.withColumn("start", C("place") - C("at")), without_neighbour(1).withColumn("start", C("place")),
-        without_neighbour(-1).withColumn("start", C("place") + SIZE - C("n")),
+        hits.withColumn("start", C("place") - C("at")),
+        sides.filter(~C("before").eqNullSafe(C("place") - 1)).withColumn("start", C("place")),
+        sides.filter(~C("after").eqNullSafe(C("place") + 1)).withColumn("start", C("place") + SIZE - C("n")),
     ]
     start = C("start")
     laid = stored(
@@ -142,7 +150,7 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     hit = stored(laid.select("doc").distinct(), "documents-hit")
     texts = docs.select(keyed(docs).alias("doc"), "text").join(few(hit), "doc", "left_semi").dropDuplicates(["doc"])
     words = texts.select("doc", words_of(C("text")).alias("words"))
-    part = laid.join(words, "doc").select("doc", "first", "n", F.slice("words", C("first") + 1, C("end") - C("first")).alias("part"))
+    part = shuffled(laid).join(words, "doc").select("doc", "first", "n", F.slice("words", C("first") + 1, C("end") - C("first")).alias("part"))
     return stored(part.filter(F.size("part") >= SIZE).select("doc", "first", "n", weighted(C("part")).alias("grams")), "window-grams")
 
 
@@ -189,7 +197,8 @@ def found_leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     for seed in PRINTS:
         prints = stored(simhash(laid, ["doc", "first", "n"], "grams", seed), "window-prints")
         near.append(candidates(prints, stored(simhash(item_grams, ["item", "n"], "item_grams", seed), "item-prints")))
-    pairs = reduce(DataFrame.union, near).distinct().join(laid, ["doc", "first", "n"]).join(item_grams.drop("n"), "item")
+    pairs = reduce(DataFrame.union, near).distinct().join(shuffled(laid), ["doc", "first", "n"])
+    pairs = pairs.join(few(item_grams, C("n")).drop("n"), "item")
     judged = pairs.select("doc", "item_id", "first", "n", similarity(C("grams"), C("item_grams")).alias("similarity"))
     best = F.max(F.struct("similarity", (-C("first")).alias("before"), "n")).alias("best")
     return judged.filter(C("similarity") >= least - 1e-9).groupBy("doc", "item_id").agg(best).select(
