@@ -3,8 +3,8 @@
     path/by_url_<n>/       postings with a url: n buckets, each in files of its own
     path/without_url/      the others; no batch can mention them, and in a bucket they would be one hot key
 
-Spark knows from the table's declaration that equal urls share a bucket. A batch that is too large to broadcast is
-dealt out by url to as many tasks as there are buckets, and each joins one bucket as it lies on disk. What a
+Spark knows from the table's declaration that equal urls share a bucket. A batch is stored in as many buckets of its url, by the
+shuffle of its dedup; where it is too large to broadcast each task joins a bucket of both as they lie on disk. What a
 merge returns is dealt out likewise, so it is written to the next table without a shuffle either: a bucket
 then holds a file of known postings and one of new ones, until ``write_bucketed`` lays the table out anew.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vacantis.operators import upsert
 from vacantis.schema import JOBS_SCHEMA
-from vacantis.session import in_order, stored, writing
+from vacantis.session import TIDY, in_order, settings, stored_by, writing
 
 BUCKETS = 32
 
@@ -42,7 +42,8 @@ def _save(keyed: DataFrame, loose: DataFrame, path: str, buckets: int) -> None:
     with writing(spark, buckets):
         keyed.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "url").option("path", _keyed(path, buckets)).saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")
-    loose.write.option("compression", "zstd").parquet(_loose(path))
+    with settings(spark, TIDY):
+        loose.write.option("compression", "zstd").parquet(_loose(path))
 
 
 def write_bucketed(
@@ -96,5 +97,5 @@ def merge_bucketed(
     spark: SparkSession, path: str, incoming: DataFrame, target: str, ingest_ts: Column | None = None, buckets: int = BUCKETS
 ) -> None:
     """Merge a batch (one row per url) into the table at ``path``; the result is a table of its own at ``target``."""
-    merged = merged_keyed(spark, path, stored(incoming, "batch"), ingest_ts, buckets, is_stored=True)
+    merged = merged_keyed(spark, path, stored_by(incoming, "url", buckets, "batch"), ingest_ts, buckets, is_stored=True)
     _save(merged.drop("change"), scan_loose(spark, path), target, buckets)
