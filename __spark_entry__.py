@@ -22,7 +22,7 @@ from vacantis import schema
 from vacantis.functions import pages, parsing, skills, text
 from vacantis.operators import counts, derive, extract, progress, search, series, upsert
 from vacantis.plans import forecast, overview
-from vacantis.session import fresh_folder, in_order, stored
+from vacantis.session import fresh_folder, in_order
 from vacantis.sources import bindings as b
 from vacantis.sources import bucketed, tables
 from vacantis.streaming import ingest
@@ -132,7 +132,7 @@ def s4_conform_schema(spark: SparkSession, d: str) -> DataFrame:
 
 def s5_append_jobs(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_folder(spark, "append")
-    arrived = stored(_arrived(spark, d), "batch")
+    arrived = upsert.stored_batch(_arrived(spark, d))
     new = upsert.new_only(arrived, b.slim_jobs(spark, d))
     tables.append_jobs(b.jobs_by_text(spark, d), path)
     tables.append_jobs(schema.project_read_shape(upsert.as_new(new, _ingest_ts())), path)
