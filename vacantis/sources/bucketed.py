@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vacantis.operators import upsert
 from vacantis.schema import JOBS_SCHEMA
-from vacantis.session import TIDY, in_order, settings, stored_by, writing
+from vacantis.session import TIDY, in_order, settings, stored, stored_by, writing
 
 BUCKETS = 32
 
@@ -90,7 +90,8 @@ def merged_keyed(
     spark: SparkSession, path: str, incoming: DataFrame, ingest_ts: Column | None = None, buckets: int = BUCKETS, is_stored: bool = False
 ) -> DataFrame:
     """``upsert.upsert_fill_missing`` of a batch into the postings with a url, with its ``change`` column."""
-    return upsert.upsert_fill_missing(scan_keyed(spark, path, buckets), incoming, ingest_ts, is_stored, has_urls=True, buckets=buckets)
+    incoming = incoming if is_stored else stored(incoming, "batch")
+    return upsert.upsert_fill_missing(scan_keyed(spark, path, buckets), incoming, ingest_ts, is_stored=True, has_urls=True, buckets=buckets)
 
 
 def merge_bucketed(
